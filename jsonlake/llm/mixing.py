@@ -7,7 +7,8 @@ sum(rate * tokens * posterior), match their targets.
 
 Classifier: naive Bayes over hashed words (the last sign of a word counts as its
 shape). Counts come from a bounded sample of ``sample_rows`` labelled documents;
-only the ``most_words`` most telling buckets have weights, so the table that is
+only the ``most_words`` buckets whose document counts deviate most (by at least
+``least_deviation`` standard errors) have weights, so the table that is
 broadcast to score all documents has a fixed bound.
 
 Solver: the state is one rate per document in a stored table of tokens and
@@ -60,7 +61,7 @@ def label_domain() -> Column:
     return F.when(F.col("quality") == 0, "low").when((F.col("quality") == 1) & (F.col("toxic") == 1), "toxic").when((F.col("quality") == 1) & (F.col("toxic") == 0), "clean")
 
 
-def train(docs: DataFrame, labelled: DataFrame, domains: list[str], sample_rows: int = 12_000, most_words: int = 4_000, least_count: int = 20) -> DomainModel:
+def train(docs: DataFrame, labelled: DataFrame, domains: list[str], sample_rows: int = 12_000, most_words: int = 4_000, least_deviation: float = 6.0) -> DomainModel:
     """``labelled``: doc_id, domain."""
     if not 1 <= len(domains) <= 64:
         raise ValueError("between 1 and 64 domains")
@@ -68,17 +69,18 @@ def train(docs: DataFrame, labelled: DataFrame, domains: list[str], sample_rows:
     rows = {r.domain: r.n for r in sample.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     total = sum(rows.values()) + len(domains)
     priors = [math.log((rows.get(d, 0) + 1) / total) for d in domains]
-    words = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("__id")).select("domain", F.explode(words_of(F.col("text"))).alias("w"))
+    words = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("__id")).select("domain", F.explode(F.array_distinct(words_of(F.col("text")))).alias("w"))
     by = words.select("domain", word_bucket(F.col("w")).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"), *(F.count_if(F.col("domain") == d).alias(f"n{k}") for k, d in enumerate(domains)))
     by = stored(by, work_dir(docs.sparkSession, "mixwords") + "/counts")
     sums = by.agg(F.sum("n").alias("n"), *(F.sum(f"n{k}").alias(f"n{k}") for k in range(len(domains)))).first()
     if not sums.n:
         return DomainModel(domains, priors, [])
-    # Shrunk towards the share of all words: few occurrences say little.
-    share = F.col("n") / F.lit(float(sums.n))
-    ratios = [F.log((F.col(f"n{k}") + 5.0 * F.least(share * F.lit(1e4), F.lit(1.0)) + 1.0) / ((share * float(sums[f"n{k}"])) + 5.0 * F.least(share * F.lit(1e4), F.lit(1.0)) + 1.0)).alias(f"r{k}") for k in range(len(domains))]
-    tell = F.greatest(*(F.abs(f"r{k}") for k in range(len(domains)))) if len(domains) > 1 else F.abs("r0")
-    top = by.where(F.col("n") >= least_count).select("bucket", "n", *ratios).where(tell > 0.7).orderBy(F.desc(tell * F.log("n")), "bucket").limit(most_words)
+    # Documents with the word against those expected from the domain's share; far-out ones only.
+    seen = [F.col(f"n{k}") for k in range(len(domains))]
+    expected = [F.col("n") * F.lit(float(sums[f"n{k}"]) / float(sums.n)) for k in range(len(domains))]
+    far = [F.abs(o - e) / F.sqrt(e + 1.0) for o, e in zip(seen, expected, strict=True)]
+    ratios = [F.log((o + 1.0) / (e + 1.0)).alias(f"r{k}") for k, (o, e) in enumerate(zip(seen, expected, strict=True))]
+    top = by.select("bucket", *ratios, (F.greatest(*far) if len(far) > 1 else far[0]).alias("far")).where(F.col("far") >= least_deviation).orderBy(F.desc("far"), "bucket").limit(most_words)
     return DomainModel(domains, priors, [(r.bucket, *(float(r[f"r{k}"]) for k in range(len(domains)))) for r in top.collect()])
 
 
