@@ -1,0 +1 @@
+"""jsonlake: JSON-shaped queries over Spark tables and quads."""
