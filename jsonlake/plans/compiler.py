@@ -510,6 +510,17 @@ class Compiler:
             return get(self.find(node.name), "id")
         if isinstance(node, Prop):
             return get(self.find(node.label or ""), node.path[0])
+        twice = self._repeated(node)
+        if twice:
+            vals = {n: self.value(n, get) for n in twice}
+            many = [n for n, v in vals.items() if v.many]
+            if many:
+                # A property that stands twice in an expression has one value at a time.
+                def bound(*ones: Val) -> Val:
+                    table = {(self.find(n.label or "") if isinstance(n, Prop) else self.find(n.name), n.path[0] if isinstance(n, Prop) else "id"): v for n, v in zip(many, ones, strict=True)}
+                    return self.value(node, lambda lab, p: table[lab, p] if (lab, p) in table else get(lab, p))
+
+                return V.lift(bound, [vals[n] for n in many])
         if isinstance(node, Call):
             if node in self.follows:
                 return get(self.follows[node], "id")
@@ -518,6 +529,15 @@ class Compiler:
             return self.op(node, get)
         raise QueryError(f"cannot evaluate {node}")
 
+    @staticmethod
+    def _repeated(node: Node) -> list[Node]:
+        """Properties that stand more than once in an expression."""
+        seen: dict[Node, int] = {}
+        for n in walk(node):
+            if isinstance(n, (Prop, Label)):
+                seen[n] = seen.get(n, 0) + 1
+        return [n for n, k in seen.items() if k > 1]
+
     def call(self, name: str, args: list[Val]) -> Val:
         f = self.functions[name]
         if not f.least <= len(args) <= f.most:
@@ -589,7 +609,7 @@ class Compiler:
                 plain = [o for o in options if o.constant and not o.many and o.kind == v.kind and o.kind in ("num", "str")]
                 tests = [v.col.isin([o.literal for o in plain])] if plain else []
                 for o in options:
-                    if o not in plain:
+                    if not any(o is k for k in plain):
                         tests.append(F.exists(o.col, same_as(v, o.kind)) if o.many else F.coalesce(V.equal(v, o), F.lit(False)))
                 hit = reduce(lambda a, b: a | b, tests) if tests else F.lit(False)
                 return Val(hit if op == "in" else ~F.coalesce(hit, F.lit(False)), "bool")
@@ -793,6 +813,8 @@ class Compiler:
                 s.local = [n for n in s.local if n not in later]
             ahead = [n for n in self.constants if any(isinstance(x, Call) and x.name in ("follow", "rfollow") for x in walk(n))]
             df, get = self.joined(main, wanted)
+            if not hasattr(self.source(main), "columns"):  # embedded objects show inside their owners only
+                df = df.where(~F.col(f"`{main}|id`").startswith(V.BNODE + "j:e:"))
             df, get = self._attach_follows(df, get, [*nodes, *[n for n, _ in later], *ahead], main)
             for n, _ in later:
                 df = df.where(self.condition_follow(n, get))
@@ -876,7 +898,7 @@ class Compiler:
             return Val(F.count(F.lit(1)), "num")
         v = self.value(node.args[0], get)
         if name in self.aggregates:
-            arr = F.flatten(F.collect_list(F.transform(v.col, lambda x: F.coalesce(V.number(Val(x, v.kind)), F.lit(0.0))))) if v.many else F.collect_list(V.number(v))
+            arr = F.flatten(F.collect_list(F.filter(F.transform(v.col, lambda x: V.number(Val(x, v.kind))), lambda x: x.isNotNull()))) if v.many else F.collect_list(V.number(v))
             return Val(self.aggregates[name](arr), "num")
         one = (lambda x: Val(x, v.kind)) if v.many else None
         if name == "count":

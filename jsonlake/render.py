@@ -62,7 +62,7 @@ class Renderer:
         if uri == NIL:
             return []
         if depth > 0:
-            return self.object(uri, depth - 1) if uri in self.objects else {self.id_name: "@" + uri}
+            return self.object(uri, depth - 1) if uri in self.objects else {self.id_name: uri}
         return "@" + uri
 
     def object(self, uri: str, depth: int) -> dict | list:
