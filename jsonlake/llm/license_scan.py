@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ascii_lower
+from .common import ascii_lower, stored, work_dir
 
 #: Phrases and their labels.
 PHRASES = {
@@ -123,7 +123,8 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, gap: int = 3, mi
     score is the share of a document's words inside verified spans and phrases, capped at 1.
     """
     spark = docs.sparkSession
-    found = hits(docs, template_table(spark, templates, phrases))
+    # Hits are few; written once, both votes below read them instead of scanning all texts again.
+    found = stored(hits(docs, template_table(spark, templates, phrases)), work_dir(spark, "licenses") + "/hits")
     # Phrases: a diagonal with all pairs is one place.
     places = found.where("base").groupBy("doc_id", "tkey", "tpl", "tlen", "label", "diag").agg(F.countDistinct("pos").alias("n")).where(F.col("n") == F.col("tlen") - 1)
     base = places.select("doc_id", "tkey", "label", F.col("diag").alias("start"), (F.col("diag") + F.col("tlen") - 1).alias("end"), F.lit(True).alias("base"))
