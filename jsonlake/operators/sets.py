@@ -68,3 +68,16 @@ def last_write(rows: DataFrame, keys: list[str], at: str) -> DataFrame:
     """The last row of each key by ``at``."""
     w = Window.partitionBy(*keys).orderBy(F.col(at).desc())
     return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+
+
+def reifications(quads: DataFrame, s: str, p: str, o: str, prefix: str = "http://www.w3.org/1999/02/22-rdf-syntax-ns#") -> DataFrame:
+    """Ids of statements about the statement (s, p, o): one aggregation instead of three self-joins."""
+    wanted = F.count_if((F.col("p") == prefix + "subject") & (F.col("o") == s)) * F.count_if((F.col("p") == prefix + "predicate") & (F.col("o") == p)) * F.count_if((F.col("p") == prefix + "object") & (F.col("o") == o))
+    rows = quads.where(F.col("p").isin(prefix + "subject", prefix + "predicate", prefix + "object"))
+    return rows.groupBy(F.col("s").alias("id")).agg(wanted.alias("n")).where("n > 0").select("id")
+
+
+def ordered(quads: DataFrame) -> DataFrame:
+    """Per subject and property the values in list order."""
+    v = F.struct(F.element_at(F.coalesce("listpos", F.array(F.lit(1 << 30))), 1).alias("pos"), "o", "ot")
+    return quads.groupBy("s", "p").agg(F.sort_array(F.collect_list(v)).alias("vs")).select("s", "p", F.transform("vs", lambda x: F.struct(x["o"].alias("o"), x["ot"].alias("ot"))).alias("values"))

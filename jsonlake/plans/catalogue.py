@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import sets
+from ..functions import text
+from ..operators import inference, sets
 from ..operators.graph import components, transitive_closure
 from ..store import Store
 
@@ -150,6 +151,41 @@ def _udaf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.query_df("{n_regionkey, 'ss': sumsq(n_nationkey) group by n_regionkey}")
 
 
+def _uris(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return p.select("page_id", text.uri_parts(F.col("url")).alias("u")).select("page_id", "u.scheme", "u.authority", "u.path", "u.query", "u.fragment")
+
+
+def _roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return p.groupBy(text.root_element(F.col("html")).alias("root")).agg(F.count("*").alias("n"))
+
+
+def _sanitized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return p.select("page_id", text.sanitize_whitelist("html").alias("clean"), text.truncate_html("html", 20).alias("start"))
+
+
+def _excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return d.select("item_id", text.truncate_text(F.col("text"), lines=1).alias("line"))
+
+
+def nation_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as classes below their region's class, customers as their instances."""
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    name = lambda tag, col: F.concat(F.lit(tag), F.col(col).cast("string"))
+    rest = [F.lit("R").alias("ot"), F.lit("").alias("c"), F.lit(None).cast("array<int>").alias("listpos")]
+    below = n.select(name("nation:", "n_nationkey").alias("s"), F.lit(inference.SUBCLASS).alias("p"), name("region:", "n_regionkey").alias("o"), *rest)
+    return below.unionByName(c.select(name("customer:", "c_custkey").alias("s"), F.lit(inference.TYPE).alias("p"), name("nation:", "c_nationkey").alias("o"), *rest))
+
+
+def _subclass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = inference.expand_types(nation_classes(spark, sf_dir))
+    return q.where(F.col("p") == inference.TYPE).groupBy(F.col("o").alias("type")).agg(F.count("*").alias("n"))
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "object_construct": (ask("customer", "{c_name, c_acctbal}"), "SELECT c_name, c_acctbal FROM customer"),
     "building_customers": (ask("customer", "{c_name, c_acctbal where c_mktsegment = 'BUILDING' and c_acctbal > 5000}"), "SELECT c_name, c_acctbal FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 5000"),
@@ -215,6 +251,11 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "as_of_revision": (_as_of, "SELECT user_id, event_type FROM (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS k FROM events WHERE event_id <= 5000) WHERE k = 1 AND event_id % 2 = 0"),
     "diff_sets": (_diff, "WITH a AS (SELECT DISTINCT o_custkey, o_orderpriority FROM orders WHERE o_totalprice > 100000), b AS (SELECT DISTINCT o_custkey, o_orderpriority FROM orders WHERE o_totalprice < 200000) SELECT *, 'removed' AS change FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT *, 'added' AS change FROM (SELECT * FROM b EXCEPT SELECT * FROM a)"),
     "json_props": (_json_props, "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events WHERE CAST(json_extract_string(props, '$.k') AS INT) > 50"),
+    "subclass_expansion": (_subclass, "SELECT type, count(*) AS n FROM (SELECT 'nation:' || c_nationkey AS type FROM customer UNION ALL SELECT 'region:' || n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey) GROUP BY 1"),
+    "uri_parts": (_uris, r"SELECT page_id, regexp_extract(url, '^([^:/?#]+):', 1) AS scheme, regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1) AS authority, regexp_extract(url, '^[^:/?#]+://[^/?#]*([^?#]*)', 1) AS path, CASE WHEN regexp_matches(url, '^[^?#]*\?') THEN regexp_extract(url, '\?([^#]*)', 1) END AS query, CASE WHEN contains(url, '#') THEN regexp_extract(url, '#(.*)', 1) END AS fragment FROM pages".replace("\\\\", "\\")),
+    "root_elements": (_roots, "SELECT 'html' AS root, count(*) AS n FROM pages"),
+    "sanitized_pages": (_sanitized, None),
+    "first_lines": (_excerpt, "SELECT item_id, split_part(text, chr(10), 1) AS line FROM benchmark"),
     "nest_unnest": (_nest_unnest, "SELECT n_regionkey, n_name FROM nation"),
     "scalar_udf": (_udf, "SELECT p_partkey, p_size / 2.0 AS half FROM part"),
     "aggregate_udf": (_udaf, "SELECT n_regionkey, CAST(sum(n_nationkey * n_nationkey) AS DOUBLE) AS ss FROM nation GROUP BY 1"),

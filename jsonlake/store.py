@@ -402,6 +402,30 @@ class Store:
             self.catalog.quads = self.history.state()
         return done
 
+    def dump(self, path: str, form: str | None = None, mode: str = "errorifexists") -> None:
+        """Write all statements in a text format."""
+        formats.write(self.quads, path, form, mode)
+
+    def mirror(self, *others: Store) -> None:
+        """Repeat every commit of this store in other stores, which are read on their own."""
+
+        def repeat(added: DataFrame | None, removed: DataFrame | None) -> None:
+            for o in others:
+                o._apply(added, removed)
+
+        self.hooks["finalize-commit"].append(repeat)
+
+    def view(self, condition: Column) -> Store:
+        """A store that sees the statements under a condition and writes through to this one."""
+        out = Store(self.spark, self.quads.where(condition))
+        out.hooks["before-commit"].append(lambda added, removed: self._apply(added, removed))
+        return out
+
+    def log_lines(self, rev: str) -> DataFrame:
+        """A commit as N-Triples lines, removals marked."""
+        rows = self.history.changes().where(F.col("rev") == rev).orderBy("op", "s", "p")
+        return formats.ntriples_lines(rows, F.col("op") == "del")
+
     def describe(self, uri: str) -> dict | None:
         """One stored object as JSON."""
         from .sources.docjson import serialize
