@@ -9,10 +9,12 @@ Documents with equal sets become one representative. Candidates come from the
 buckets without listing their pairs: in two star rounds every document is
 compared with one centre of its buckets (the smallest, then the largest id that
 is not yet in its component), which joins large groups of near copies at a cost
-linear in their size. A last round compares, bucket by bucket, the members
-outside the bucket's main component with all members of other components, so no
-candidate link between components is lost. Every link is confirmed on the full
-shingle sets, made again from the whole texts.
+linear in their size. A last round takes the buckets that still hold several
+components and compares all their members across components, in pairs of blocks
+of ``BLOCK`` documents, by sparse products of the full sets; it returns links
+that join components, not pairs. So no candidate link between components is
+lost. Every link is confirmed on the full shingle sets, made again from the
+whole texts.
 
 With perms=48 and 24 bands of 4 values a pair of similarity 0.75 shares a
 bucket with probability 0.9999.
@@ -35,10 +37,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import remove_dir, stored, work_dir
-from .components import connected_components
+from .components import merge_components, roots_of
 
 SHINGLE = 5
 PERMS, BANDS, ROWS = 48, 24, 4
+BLOCK = 1024
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _VALUE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _VALUE[65:91] = _VALUE[97:123]  # A-Z count as a-z
@@ -176,35 +179,124 @@ def confirmed(pairs: DataFrame, texts: DataFrame, share: int, chunk: int = 64) -
     return together.mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def near_duplicates(docs: DataFrame, share: int = 75) -> DataFrame:
+def shared_counts(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Sizes of all intersections. Shingles of one set only are left out; the others are multiplied in slices."""
+    n = len(sets)
+    out = np.zeros((n, n), dtype=np.float32)
+    flat = np.concatenate(sets)
+    docs = np.repeat(np.arange(n), [len(s) for s in sets])
+    _, inverse, count = np.unique(flat, return_inverse=True, return_counts=True)
+    often = count > 1
+    column = (np.cumsum(often) - 1)[inverse]
+    held = often[inverse]
+    column, docs = column[held], docs[held]
+    order = np.argsort(column, kind="stable")
+    column, docs = column[order], docs[order]
+    total = int(often.sum())
+    for c in range(0, total, width):
+        a, b = np.searchsorted(column, [c, min(c + width, total)])
+        rows, local = np.unique(docs[a:b], return_inverse=True)
+        m = np.zeros((len(rows), width), dtype=np.float32)
+        m[local, column[a:b] - c] = 1
+        out[np.ix_(rows, rows)] += m @ m.T
+    return out
+
+
+def block_roots(sets: list[np.ndarray], comps: np.ndarray, side: np.ndarray, share: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between different components of one pair of blocks, as (row, root row) of a spanning forest.
+
+    side: 0 and 1 for rows of two different blocks, all 2 within one block.
+    """
+    size = np.array([len(s) for s in sets], dtype=np.float64)
+    both = shared_counts(sets).astype(np.float64)
+    link = 100 * both >= share * (size[:, None] + size[None, :] - both)
+    link &= comps[:, None] != comps[None, :]
+    if (side != 2).all():
+        link &= side[:, None] != side[None, :]
+    rows = np.flatnonzero(link.any(axis=1))
+    root = np.arange(len(rows))
+    own = link[np.ix_(rows, rows)]
+    while len(rows):
+        new = np.minimum(root, np.where(own, root[None, :], len(rows)).min(axis=1))
+        new = np.minimum(new, new[new])
+        if (new == root).all():
+            break
+        root = new
+    moved = root != np.arange(len(rows))
+    return rows[moved], rows[root[moved]]
+
+
+def remaining_links(buckets: DataFrame, comps: DataFrame, texts: DataFrame, share: int, block: int) -> DataFrame:
+    """Links (a, b) between components that share a bucket; every pair across components is compared."""
+    placed = with_component(buckets, comps)
+    sizes = placed.groupBy("band", "key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = placed.join(sizes, ["band", "key"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "comp")
+    keys = ["band", "key", "i", "j"]
+    kind = buckets.schema["rep"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def close() -> tuple[list, list]:
+            i, j = held[0][0][2:]
+            comps = np.array([h[2] for h in held])
+            if len(held) < 2 or (comps == comps[0]).all():
+                return [], []
+            side = np.full(len(held), 2) if i == j else (np.array([h[4] for h in held]) == j).astype(int)
+            rows, roots = block_roots([h[3] for h in held], comps, side, share)
+            return [held[r][1] for r in rows], [held[r][1] for r in roots]
+
+        kind_ = None
+        for batch in batches:
+            kind_ = batch.schema.field("rep").type
+            out_a, out_b = [], []
+            columns = [batch.column(k).to_pylist() for k in keys]
+            for key, rep, comp, own, text in zip(zip(*columns, strict=True), *(batch.column(c) for c in ("rep", "comp", "own", "text")), strict=True):
+                if held and held[0][0] != key:
+                    a, b = close()
+                    out_a += a
+                    out_b += b
+                    held = []
+                held.append((key, rep.as_py(), comp.as_py(), shingles(text.as_py()), own.as_py()))
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, kind_), pa.array(out_b, kind_)], ["a", "b"])
+        if held:
+            a, b = close()
+            yield pa.RecordBatch.from_arrays([pa.array(a, kind_), pa.array(b, kind_)], ["a", "b"])
+
+    whole = dealt.join(texts, F.col("rep") == F.col("doc_id")).select(*keys, "own", "rep", "comp", "text")
+    return whole.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, f"a {kind}, b {kind}")
+
+
+def near_duplicates(docs: DataFrame, share: int = 75, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
     spark = docs.sparkSession
     folder = work_dir(spark, "minhash")
-    # The same id twice: one of the rows stands for it.
     sketch = stored(sketches(docs), f"{folder}/sketch")
     whole = sketch.where(F.col("f1").isNotNull() & F.col("doc_id").isNotNull())
     # Equal sets: the smallest id stands for all. Bands of equal sets are equal, so any will do.
-    same = stored(whole.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.any_value("bands").alias("bands")), f"{folder}/same")
+    same = stored(whole.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands")), f"{folder}/same")
     entries = same.select("rep", F.posexplode("bands").alias("band", "key"))
     full = entries.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").select("band", "key")
     buckets = stored(entries.join(full, ["band", "key"]), f"{folder}/buckets")
     wanted = buckets.select(F.col("rep").alias("__need")).distinct()
-    slim = docs.select("doc_id", "text")
-    texts = stored(slim.join(wanted, F.col("doc_id") == F.col("__need"), "left_semi").dropDuplicates(["doc_id"]), f"{folder}/texts")
-    links, comps = [], None
-    for k, pick in enumerate((F.min, F.max)):
-        placed = buckets if comps is None else with_component(buckets, comps)
-        centre = placed.groupBy("band", "key").agg(pick("rep").alias("c"))
-        near = placed.join(centre, ["band", "key"]).where("rep != c")
-        if comps is not None:
-            near = near.join(comps.select(F.col("node").alias("c"), F.col("comp").alias("ccomp")), "c", "left").where(F.col("comp") != F.coalesce("ccomp", "c"))
-        pairs = near.groupBy(F.col("rep").alias("b")).agg(F.min("c").alias("a")).select("a", "b")
-        links.append(stored(confirmed(stored(pairs, f"{folder}/pairs{k}"), texts, share), f"{folder}/links{k}"))
-        every = links[0] if k == 0 else links[0].unionByName(links[1])
-        comps = connected_components(every, folder=f"{folder}/comps{k}")
-    links.append(stored(confirmed(stored(remaining(buckets, comps), f"{folder}/pairs2"), texts, share), f"{folder}/links2"))
-    if not links[2].isEmpty():
-        comps = connected_components(links[0].unionByName(links[1]).unionByName(links[2]), folder=f"{folder}/comps2")
+    # The same id twice: one of the rows stands for it.
+    texts = stored(docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("__need"), "left_semi").dropDuplicates(["doc_id"]), f"{folder}/texts")
+    # First star: the smallest id among all bucket mates is the only parent of a document, so links form a forest.
+    low = buckets.groupBy("band", "key").agg(F.min("rep").alias("c"))
+    pairs = buckets.join(low, ["band", "key"]).where("rep != c").groupBy(F.col("rep").alias("b")).agg(F.min("c").alias("a"))
+    first = stored(confirmed(stored(pairs.select("a", "b"), f"{folder}/pairs0"), texts, share), f"{folder}/links0")
+    comps = roots_of(first.select(F.col("b").alias("node"), F.col("a").alias("parent")), f"{folder}/comps0")
+    # Second star: the largest id of the buckets that still hold several components.
+    placed = with_component(buckets, comps)
+    high = placed.groupBy("band", "key").agg(F.max(F.struct("rep", "comp")).alias("m")).select("band", "key", F.col("m.rep").alias("c"), F.col("m.comp").alias("ccomp"))
+    pairs = placed.join(high, ["band", "key"]).where("comp != ccomp").groupBy(F.col("rep").alias("b")).agg(F.max("c").alias("a"))
+    second = stored(confirmed(stored(pairs.select("a", "b"), f"{folder}/pairs1"), texts, share), f"{folder}/links1")
+    comps = merge_components(comps, second, f"{folder}/comps1")
+    third = stored(remaining_links(buckets, comps, texts, share, block), f"{folder}/links2")
+    if not third.isEmpty():
+        comps = merge_components(comps, third, f"{folder}/comps2")
     for name in ("buckets", "texts"):
         remove_dir(spark, f"{folder}/{name}")
     of_set = same.select(F.col("f1").alias("__1"), F.col("f2").alias("__2"), "rep").join(comps.select(F.col("node").alias("rep"), "comp"), "rep", "left").select("__1", "__2", F.coalesce("comp", "rep").alias("comp"))
@@ -220,19 +312,6 @@ def with_component(buckets: DataFrame, comps: DataFrame) -> DataFrame:
     return placed.join(mixed, ["band", "key"])
 
 
-def remaining(buckets: DataFrame, comps: DataFrame) -> DataFrame:
-    """The pairs of different components in one bucket, each with a member outside the bucket's main component.
-
-    A pair of components is compared by all of its members that share a bucket.
-    """
-    placed = with_component(buckets, comps)
-    sizes = placed.groupBy("band", "key", "comp").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("band", "key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"))
-    others = placed.join(main, ["band", "key"]).where("comp != main").select("band", "key", F.col("rep").alias("o"), F.col("comp").alias("ocomp"))
-    pairs = others.join(placed, ["band", "key"]).where("ocomp != comp")
-    return pairs.select(F.least("o", "rep").alias("a"), F.greatest("o", "rep").alias("b")).distinct()
-
-
 def keep_one(docs: DataFrame, share: int = 75) -> DataFrame:
     """The rows of ``docs`` whose document is kept, all columns as they were."""
     kept = near_duplicates(docs, share).where("kept").select(F.col("doc_id").alias("__keep")).distinct()
