@@ -30,6 +30,15 @@ m AS (SELECT k.doc_id, line, i, c.top IS NOT NULL AND c.top <> k.doc_id AS gone
 SELECT doc_id, count(*) AS n_lines, CAST(count_if(gone) AS BIGINT) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM m GROUP BY doc_id
 """
 
+OP7 = r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+h AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS x, min(page_id) OVER (PARTITION BY sha1(b)) AS f FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(x, 5 * (k // 4) + 1, 5) AS BIGINT) >> (15 - 5 * (k % 4))) & 31 AS INT) + 1, 1) FOR k IN range(32)], '') AS payload_digest,
+  CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> f THEN f END AS refers_to
+FROM h
+"""
+
 OP9 = r"""
 WITH RECURSIVE v AS (SELECT vec_id, label, [CAST(x AS DOUBLE) FOR x IN embedding] AS e FROM embeddings
   WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
@@ -55,4 +64,4 @@ FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN m ON d.doc_id = m.
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": OP2, "op4_line_dedup": OP4, "op9_embedding_dedup": OP9, "op10_minhash_dedup": OP10}
+    return {"op2_quality_rules": OP2, "op4_line_dedup": OP4, "op7_warc": OP7, "op9_embedding_dedup": OP9, "op10_minhash_dedup": OP10}
