@@ -273,7 +273,7 @@ class Compiler:
                 self.source(c.args[0].label or default).table = value
                 return
         if isinstance(c, Op) and c.op in ("in", "notin") and len(c.args) == 2 and isinstance(c.args[1], FilterSet):
-            x = self.bound(c.args[0], default, c.op == "in")
+            x = self.bound(c.args[0], default)
             labels = self.labels_in(x)
             if len(labels) != 1:
                 raise QueryError("in {...} needs a property on its left")
@@ -309,7 +309,7 @@ class Compiler:
             if isinstance(item.value, Construct):
                 inner = item.value
                 own = inner.label or self.new_label("in")
-                plain = inner.label is None and inner.where is None and not inner.group and not any(isinstance(n, (Label,)) or isinstance(n, Prop) and n.label for i in inner.items if not isinstance(i.value, Construct) for n in walk(i.value))
+                plain = inner.label is None and inner.where is None and inner.group is None  # the parent's own rows
                 if plain:
                     own = main
                 before = len(self.conds)
