@@ -113,7 +113,7 @@ class Compiler:
         self.label_of: dict[int, str] = {}
         self.follows: dict[Call, str] = {}
         self.prefixes: dict[str, str] = {}
-        self.order_only: list[tuple[str, str]] = []
+        self.soft: set[tuple[str, str]] = set()
 
     # ---- analysis
 
@@ -132,8 +132,10 @@ class Compiler:
             self.sources[label] = Source(label)
         return self.sources[label]
 
-    def want(self, label: str, prop: str, must: bool) -> None:
+    def want(self, label: str, prop: str, must: bool, hard: bool = False) -> None:
         s = self.source(label)
+        if must and not hard and (self.find(label), prop) in self.soft:
+            must = False  # the construct says maybe: absent counts as null
         if prop == "*":
             s.star = True
         else:
@@ -288,6 +290,8 @@ class Compiler:
             return
         b = self.bound(c, default, not maybe and not (isinstance(c, Op) and c.op == "or") and not (isinstance(c, Op) and c.op == "not"))
         if isinstance(b, Prop):
+            if not maybe:
+                self.want(b.label or default, b.path[0], True, hard=True)
             return  # existence is recorded
         if isinstance(b, Op) and b.op == "=" and b.args[0] == b.args[1] and isinstance(b.args[0], (Label, Prop)):
             return  # a = a
@@ -790,6 +794,9 @@ class Compiler:
         for x in conjuncts(c.where):
             if isinstance(x, Prop) and not x.is_id and len(x.path) == 1:
                 self.bare.setdefault(self.find(x.label or self.main), set()).add(self.rename(x.path[0]))
+        for item in c.items:
+            if item.maybe and isinstance(item.value, Prop) and not item.value.is_id and len(item.value.path) == 1:
+                self.soft.add((self.find(item.value.label or self.main), self.rename(item.value.path[0])))
         self._where(c.where, self.main)
         self._items(c, self.main)
         group = self.bound(c.group, self.main) if c.group is not None else None

@@ -13,6 +13,9 @@ MODELS = {
     "many": [{"label": "tag 1", "id": "tag1"}, {"label": "tag 2", "id": "tag2"}, {"parent": "1", "child": "3", "id": "b1"}, {"id": "2", "type": "post", "tags": ["tag1", "tag2"]}, {"id": "3", "type": "post"}],
     "subjects": [{"id": "commons", "label": "commons", "subsumedby": "projects", "type": "Tag"}, {"id": "rhizome", "label": "rhizome", "subsumedby": "projects", "type": "Tag"}, {"id": "toread", "subsumedby": "actions", "type": "Tag"}, {"id": "projects", "type": "Tag"}, {"id": "actions", "type": "Tag"}, {"id": "c1", "subject": "commons", "content": "text one"}, {"id": "c2", "subject": "commons", "content": "text two"}, {"id": "c3", "subject": "rhizome", "content": "text three"}],
     "semi": [{"label": "tag 1", "id": "tag1"}, {"label": "tag 2", "id": "tag2"}, {"id": "1", "type": "post", "tags": ["tag1"]}, {"id": "2", "type": "post", "tags": ["tag1", "tag2"]}, {"id": "3", "type": "post", "tags": ["tag1"]}],
+    "nulls": [{"id": "1", "values": [None, None]}, {"id": "2", "values": [None, None]}, {"id": "3", "novalues": ""}, {"id": "4", "novalues": ""}],
+    "halves": [{"id": "1", "prop1": [1, 2], "prop2": [2, 4]}, {"id": "2", "prop1": [1, 2], "prop2": [2, 4]}, {"id": "3", "prop1": [1, 2], "prop2": [6, 7]}],
+    "alias": [{"id": "1", "prop1": 1, "prop2": 1}, {"id": "2", "prop1": 2, "prop2": 2}],
     "txn": [{"id": "1", "txn": "t1"}, {"id": "2", "txn": "t2"}, {"id": "t1", "createtime": 2}, {"id": "t2", "createtime": 1}],
 }
 
@@ -66,6 +69,14 @@ CASES = [
     ("semi", "{id where (tags not in {id = 'tag1'})}", []),
     ("semi", "{id where (tags in {label = 'tag 1'})}", [{"id": "1"}, {"id": "2"}, {"id": "3"}]),
     ("semi", "{id where (tags not in {label = 'tag 2'})}", [{"id": "1"}, {"id": "3"}]),
+    ("nulls", "{id, maybe values where values = null}", [{"id": "1", "values": [None, None]}, {"id": "2", "values": [None, None]}, {"id": "3", "values": None}, {"id": "4", "values": None}]),
+    ("nulls", "{id, maybe values where values}", [{"id": "1", "values": [None, None]}, {"id": "2", "values": [None, None]}]),
+    ("halves", "{* where prop1 = prop2/2}", [{"id": "1", "prop1": [1, 2], "prop2": [2, 4]}, {"id": "2", "prop1": [1, 2], "prop2": [2, 4]}]),
+    ("alias", "{?a id, prop1, 'prop2': ?b.prop2 where ?a = ?b}", [{"id": "1", "prop1": 1, "prop2": 1}, {"id": "2", "prop1": 2, "prop2": 2}]),
+    ("alias", "{* where {?a prop1 = 1} and {?b prop2 = 1} and ?a = ?b}", [{"id": "1", "prop1": 1, "prop2": 1}, {"id": "2", "prop1": 2, "prop2": 2}]),
+    ("alias", "{?a * where {?a prop1 = 1} and {?b prop2 = 1} and ?a = ?b}", [{"id": "1", "prop1": 1, "prop2": 1}]),
+    ("txn", "{?firsttxn id, createtime where ?firsttxn = ref(?post.txn) and {?post txn}}", [{"createtime": 1, "id": "t2"}, {"createtime": 2, "id": "t1"}]),
+    ("txn", "{?post *, 'createtime': ?firsttxn.createtime where {?firsttxn = ref(?post.txn)} order by ?firsttxn.createtime desc}", [{"createtime": 2, "id": "1", "txn": "t1"}, {"createtime": 1, "id": "2", "txn": "t2"}]),
     ("txn", "{id where ?t = ref(txn) order by ?t.createtime}", [{"id": "2"}, {"id": "1"}]),
 ]
 
