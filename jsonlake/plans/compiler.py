@@ -145,6 +145,10 @@ class Compiler:
         """Apply the namemap of the query: a name, or a prefix before a colon."""
         if prop in self.prefixes and isinstance(self.prefixes[prop], str):
             return self.prefixes[prop]
+        for kind in ("sharedpatterns", "propertypatterns"):
+            for k, v in (self.prefixes.get(kind) or {}).items():
+                if prop.startswith(k):
+                    return v + prop[len(k) :]
         for k, v in self.prefixes.items():
             if k.endswith(":") and isinstance(v, str) and prop.startswith(k):
                 return v + prop[len(k) :]
@@ -166,6 +170,12 @@ class Compiler:
             prop = path[0] if path[0] == "*" else self.rename(path[0])
             self.want(label, prop, must and prop != "*")
             return Prop((prop,), label, True)
+        if isinstance(node, RefLit):
+            for kind in ("sharedpatterns", "idpatterns"):
+                for k, v in (self.prefixes.get(kind) or {}).items():
+                    if node.uri.startswith(k):
+                        return RefLit(v + node.uri[len(k) :])
+            return node
         if isinstance(node, Label):
             self.source(node.name)
             return Label(self.find(node.name))

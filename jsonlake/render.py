@@ -21,10 +21,20 @@ class Renderer:
     def __init__(self, compiled: Compiled, objects: dict | None = None, for_update: bool = False, depth: int = 0, names: dict | None = None):
         self.q, self.objects, self.for_update, self.depth = compiled, objects or {}, for_update, depth
         self.back = {v: k for k, v in (names or {}).items() if isinstance(v, str)}
-        self.id_name = self.back.get("id", "id")
-        for k, v in (names or {}).items():
-            if k == "id" and isinstance(v, str):
-                self.id_name = v
+        names = names or {}
+        self.id_name = names["id"] if isinstance(names.get("id"), str) else "id"
+        self.prop_patterns = {**(names.get("sharedpatterns") or {}), **(names.get("propertypatterns") or {})}
+        self.id_patterns = {**(names.get("sharedpatterns") or {}), **(names.get("idpatterns") or {})}
+
+    @staticmethod
+    def short(text: str, patterns: dict) -> str:
+        for k, full in patterns.items():
+            if text.startswith(full):
+                return k + text[len(full) :]
+        return text
+
+    def name(self, prop: str) -> str:
+        return self.back.get(prop) or self.short(prop, self.prop_patterns)
 
     # -- values
     def value(self, v, kind: str = "any", depth: int | None = None):
@@ -63,14 +73,14 @@ class Renderer:
             return []
         if depth > 0:
             return self.object(uri, depth - 1) if uri in self.objects else {self.id_name: uri}
-        return "@" + uri
+        return "@" + self.short(uri, self.id_patterns)
 
     def object(self, uri: str, depth: int) -> dict | list:
         """A stored object: properties with lists restored."""
         props = self.objects[uri]
         if props and all(p.startswith("rdf:_") for p in props):
             return [self.value(props[p][0], "any", depth) for p in sorted(props, key=lambda p: int(p[5:]))]
-        out = {self.back.get(p, p): self.listed(vals, False, depth) for p, vals in props.items()}
+        out = {self.name(p): self.listed(vals, False, depth) for p, vals in props.items()}
         if self.for_update or not uri.startswith(BNODE):
             out[self.id_name] = uri
         return out
@@ -126,7 +136,7 @@ class Renderer:
             props: dict[str, list] = {}
             for e in v:
                 props.setdefault(e["p"], []).append(e["v"])
-            out = {self.back.get(p, p): self.listed(sorted(vals, key=lambda x: (x["pos"] or [1 << 60], x["r"], x["s"] or "")), False) for p, vals in sorted(props.items())}
+            out = {self.name(p): self.listed(sorted(vals, key=lambda x: (x["pos"] or [1 << 60], x["r"], x["s"] or "")), False) for p, vals in sorted(props.items())}
         uri = row["__id"] if "__id" in row.__fields__ else None
         if uri is not None and (self.for_update or not str(uri).startswith(BNODE)):
             out[self.id_name] = uri

@@ -112,3 +112,21 @@ def test_functions_of_users(stores):
     s.register_fold("product", 1.0, lambda a, x: a * x)
     assert s.query("{id, 't': <my:twice>(val) where id = @2}") == [{"id": "2", "t": 8}]
     assert s.query("(product(val))") == [80]
+
+
+def test_namemap(spark):
+    base = "http://www.w3.org/2000/01/rdf-schema#"
+    s = Store.from_json(spark, [{"id": "1", base + "range": "@Tag", base + "sub": "@" + base + "Class", "p": 1}])
+    names = '{"sharedpatterns": {"rdfs:": "' + base + '"}}'
+    got = s.query("{* where <rdfs:range> = @Tag order by <rdfs:range> namemap = " + names + "}")
+    assert got == [{"id": "1", "rdfs:range": "@Tag", "rdfs:sub": "@rdfs:Class", "p": 1}]
+    assert s.query('{key, p, namemap = {"id": "key"}}') == [] or s.query('{id, p, namemap = {"id": "key"}}') == [{"key": "1", "p": 1}]
+    assert s.query('{q namemap = {"q": "p"}}') == [{"q": 1}]
+
+
+def test_expressions_in_groups(spark):
+    rows = [{"key": k, "type": t, "val": (-1 if t % 2 else 1) * k * v} for k in (1, 10) for t in (1, 2) for v in (2, 4)]
+    s = Store.from_json(spark, rows)
+    got = s.query("{key, 'sum': sum(val), 'val': val, 'x': val*type*2, 'd': sum(if(type==1, val, 0)) - sum(if(type==2, val, 0)) group by key order by key}")
+    assert [(g["key"], g["sum"], sorted(g["val"]), sorted(g["x"]), g["d"]) for g in got] == [(1, 0, [-4, -2, 2, 4], [-8, -4, 8, 16], -12), (10, 0, [-40, -20, 20, 40], [-80, -40, 80, 160], -120)]
+    assert s.query("{key, 'min': min(val), 'max': max(val) group by key order by key}") == [{"key": 1, "min": -4, "max": 4}, {"key": 10, "min": -40, "max": 40}]
