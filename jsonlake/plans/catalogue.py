@@ -226,7 +226,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "equi_join": (ask("orders customer", '{?o o_orderkey, "cust": ?c.c_name where ?o.o_custkey = ?c.c_custkey}'), "SELECT o_orderkey, c_name AS cust FROM orders JOIN customer ON o_custkey = c_custkey"),
     "three_way_join": (ask("customer nation region", '{?c c_name, "nation": ?n.n_name, "region": ?r.r_name where c_nationkey = ?n.n_nationkey and ?n.n_regionkey = ?r.r_regionkey}'), "SELECT c_name, n_name AS nation, r_name AS region FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"),
     "multi_condition_join": (ask("customer supplier", '{?c c_custkey, "s": ?s.s_suppkey where ?c.c_nationkey = ?s.s_nationkey and ?c.c_acctbal < ?s.s_acctbal}'), "SELECT c_custkey, s_suppkey AS s FROM customer JOIN supplier ON c_nationkey = s_nationkey AND c_acctbal < s_acctbal"),
-    "left_join": (ask("orders customer", '{?c c_custkey, "order": ?o.o_orderkey where maybe c_custkey = ?o.o_custkey and {?o o_totalprice > 400000}}'), "SELECT c_custkey, o_orderkey AS \"order\" FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 400000) o ON c_custkey = o_custkey"),
+    "left_join": (ask("orders customer", '{?c c_custkey, "order": string(?o.o_orderkey) where maybe c_custkey = ?o.o_custkey and {?o o_totalprice > 400000}}'), "SELECT c_custkey, CAST(o_orderkey AS VARCHAR) AS \"order\" FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 400000) o ON c_custkey = o_custkey"),
     "anti_join": ((lambda spark, d: _semi(spark, d, "not in")), "SELECT c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 450000)"),
     "semi_join": ((lambda spark, d: _semi(spark, d, "in")), "SELECT c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 450000)"),
     "semi_join_ids": (ask("orders customer", "{o_orderkey where o_custkey in {c_mktsegment = 'BUILDING' and c_acctbal > 9000}}"), "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 9000)"),
