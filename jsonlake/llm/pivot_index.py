@@ -34,8 +34,8 @@ from .common import stored, work_dir
 from .components import connected_components
 
 
-def sample_pivots(vectors: DataFrame, count: int) -> dict[int, np.ndarray]:
-    """Unit pivots by vector length; ``vectors``: rep, embedding."""
+def sample_pivots(vectors: DataFrame, count: int, closest: float = 0.8) -> dict[int, np.ndarray]:
+    """Unit pivots by vector length, no two with a cosine of ``closest`` or more; ``vectors``: rep, embedding."""
     rows = vectors.orderBy(F.xxhash64("rep"), "rep").select("embedding").limit(count).collect()  # bounded by most_pivots
     by: dict[int, list] = {}
     for r in rows:
@@ -43,7 +43,12 @@ def sample_pivots(vectors: DataFrame, count: int) -> dict[int, np.ndarray]:
     out = {}
     for d, v in by.items():
         m = np.array(v, dtype=np.float64)
-        out[d] = np.unique((m / np.linalg.norm(m, axis=1, keepdims=True)).astype(np.float32), axis=0)
+        unit = (m / np.linalg.norm(m, axis=1, keepdims=True)).astype(np.float32)
+        kept = np.zeros((0, d), dtype=np.float32)
+        for x in unit:  # a large group of near copies must not fill the pivots
+            if not len(kept) or (kept @ x).max() < closest:
+                kept = np.concatenate([kept, x[None, :]])
+        out[d] = kept
     return out
 
 
