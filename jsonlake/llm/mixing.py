@@ -7,8 +7,9 @@ sum(rate * tokens * posterior), match their targets.
 
 Classifier: naive Bayes over hashed words (the last sign of a word counts as its
 shape). Counts come from a bounded sample of ``sample_rows`` labelled documents;
-only the ``most_words`` buckets whose document counts deviate most (by at least
-``least_deviation`` standard errors) have weights, so the table that is
+only the ``most_words`` hashes whose document counts deviate most (by at least
+``least_deviation`` standard errors, and by a factor of e**``least_ratio``
+in some domain) have weights, so the table that is
 broadcast to score all documents has a fixed bound.
 
 Solver: the state is one rate per document in a stored table of tokens and
@@ -34,7 +35,6 @@ from pyspark.sql import functions as F
 
 from .common import stored, work_dir
 
-BUCKETS = 1 << 18
 #: Signs that stand for a word's shape when they end it.
 SHAPES = list("!*#$%&|")
 
@@ -44,9 +44,10 @@ def words_of(text: Column) -> Column:
 
 
 def word_bucket(word: Column) -> Column:
+    """A 64-bit hash: fewer buckets would let rare words of every text collide with telling ones."""
     end = F.substring(word, -1, 1)
     token = F.when(end.isin(SHAPES), end).otherwise(F.lower(F.rtrim(word, F.lit(".,;:"))))
-    return F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")
+    return F.xxhash64(token)
 
 
 class DomainModel:
@@ -61,7 +62,7 @@ def label_domain() -> Column:
     return F.when(F.col("quality") == 0, "low").when((F.col("quality") == 1) & (F.col("toxic") == 1), "toxic").when((F.col("quality") == 1) & (F.col("toxic") == 0), "clean")
 
 
-def train(docs: DataFrame, labelled: DataFrame, domains: list[str], sample_rows: int = 12_000, most_words: int = 4_000, least_deviation: float = 6.0) -> DomainModel:
+def train(docs: DataFrame, labelled: DataFrame, domains: list[str], sample_rows: int = 12_000, most_words: int = 4_000, least_deviation: float = 10.0, least_ratio: float = 1.0) -> DomainModel:
     """``labelled``: doc_id, domain."""
     if not 1 <= len(domains) <= 64:
         raise ValueError("between 1 and 64 domains")
@@ -80,7 +81,9 @@ def train(docs: DataFrame, labelled: DataFrame, domains: list[str], sample_rows:
     expected = [F.col("n") * F.lit(float(sums[f"n{k}"]) / float(sums.n)) for k in range(len(domains))]
     far = [F.abs(o - e) / F.sqrt(e + 1.0) for o, e in zip(seen, expected, strict=True)]
     ratios = [F.log((o + 1.0) / (e + 1.0)).alias(f"r{k}") for k, (o, e) in enumerate(zip(seen, expected, strict=True))]
-    top = by.select("bucket", *ratios, (F.greatest(*far) if len(far) > 1 else far[0]).alias("far")).where(F.col("far") >= least_deviation).orderBy(F.desc("far"), "bucket").limit(most_words)
+    # Small shifts add up in long texts, so a word tells only if some domain has it far more or far less often than expected.
+    tell = F.greatest(*(F.abs(f"r{k}") for k in range(len(domains)))) if len(domains) > 1 else F.abs("r0")
+    top = by.select("bucket", *ratios, (F.greatest(*far) if len(far) > 1 else far[0]).alias("far")).where((F.col("far") >= least_deviation) & (tell >= least_ratio)).orderBy(F.desc("far"), "bucket").limit(most_words)
     return DomainModel(domains, priors, [(r.bucket, *(float(r[f"r{k}"]) for k in range(len(domains)))) for r in top.collect()])
 
 
@@ -89,7 +92,7 @@ def posteriors(docs: DataFrame, model: DomainModel) -> DataFrame:
     spark, n = docs.sparkSession, range(len(model.domains))
     base = docs.select("doc_id", F.size(words_of(F.col("text"))).cast("long").alias("tokens"))
     if model.buckets:
-        table = F.broadcast(spark.createDataFrame(model.buckets, "b int, " + ", ".join(f"r{k} double" for k in n)))
+        table = F.broadcast(spark.createDataFrame(model.buckets, "b bigint, " + ", ".join(f"r{k} double" for k in n)))
         words = docs.select("doc_id", F.explode(words_of(F.col("text"))).alias("w"))
         sums = words.join(table, word_bucket(F.col("w")) == F.col("b")).groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("hits"), *(F.sum(f"r{k}").alias(f"s{k}") for k in n))
         base = base.join(sums, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
