@@ -80,10 +80,12 @@ def train(docs: DataFrame, labelled: DataFrame, domains: list[str], sample_rows:
     seen = [F.col(f"n{k}") for k in range(len(domains))]
     expected = [F.col("n") * F.lit(float(sums[f"n{k}"]) / float(sums.n)) for k in range(len(domains))]
     far = [F.abs(o - e) / F.sqrt(e + 1.0) for o, e in zip(seen, expected, strict=True)]
-    ratios = [F.log((o + 1.0) / (e + 1.0)).alias(f"r{k}") for k, (o, e) in enumerate(zip(seen, expected, strict=True))]
-    # Small shifts add up in long texts, so a word tells only if some domain has it far more or far less often than expected.
-    tell = F.greatest(*(F.abs(f"r{k}") for k in range(len(domains)))) if len(domains) > 1 else F.abs("r0")
-    top = by.select("bucket", *ratios, (F.greatest(*far) if len(far) > 1 else far[0]).alias("far")).where((F.col("far") >= least_deviation) & (tell >= least_ratio)).orderBy(F.desc("far"), "bucket").limit(most_words)
+    # A word speaks for or against a domain only where both its deviation and its ratio are large:
+    # small shifts of common words would add up in long texts.
+    logs = [F.log((o + 1.0) / (e + 1.0)) for o, e in zip(seen, expected, strict=True)]
+    ratios = [F.when((F.abs(x) >= least_ratio) & (d >= least_deviation), x).otherwise(F.lit(0.0)).alias(f"r{k}") for k, (x, d) in enumerate(zip(logs, far, strict=True))]
+    strongest = F.greatest(*(F.abs(f"r{k}") for k in range(len(domains)))) if len(domains) > 1 else F.abs("r0")
+    top = by.select("bucket", *ratios, (F.greatest(*far) if len(far) > 1 else far[0]).alias("far")).where(strongest > 0).orderBy(F.desc("far"), "bucket").limit(most_words)
     return DomainModel(domains, priors, [(r.bucket, *(float(r[f"r{k}"]) for k in range(len(domains)))) for r in top.collect()])
 
 
@@ -93,7 +95,7 @@ def posteriors(docs: DataFrame, model: DomainModel) -> DataFrame:
     base = docs.select("doc_id", F.size(words_of(F.col("text"))).cast("long").alias("tokens"))
     if model.buckets:
         table = F.broadcast(spark.createDataFrame(model.buckets, "b bigint, " + ", ".join(f"r{k} double" for k in n)))
-        words = docs.select("doc_id", F.explode(words_of(F.col("text"))).alias("w"))
+        words = docs.select("doc_id", F.explode(F.array_distinct(words_of(F.col("text")))).alias("w"))
         sums = words.join(table, word_bucket(F.col("w")) == F.col("b")).groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("hits"), *(F.sum(f"r{k}").alias(f"s{k}") for k in n))
         base = base.join(sums, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
     else:
