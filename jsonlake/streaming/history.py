@@ -21,7 +21,7 @@ CHANGESET = "revision string, baserevision string, timestamp double, origin stri
 CHANGES = "s string, p string, o string, ot string, c string, listpos array<int>, op string, rev string"
 REVISIONS = "rev string, base string, at double, author string, comment string, origin string"
 _PART = re.compile(r"([A-Za-z]+)(\d{5,})")
-#: Out-of-order changesets that may wait, as many as the reference allows.
+#: Fixed value: out-of-order changesets that may wait.
 MOST_PENDING = 1000
 
 

@@ -11,7 +11,7 @@ REFS = {"refs": "(URIREF)"}
 MODELS = {
     "outer": [{"label": "tag 1", "id": "tag1"}, {"parent": "1", "child": "3", "id": "b1"}, {"id": "2", "type": "post", "tags": "tag1"}, {"id": "3", "type": "post"}],
     "many": [{"label": "tag 1", "id": "tag1"}, {"label": "tag 2", "id": "tag2"}, {"parent": "1", "child": "3", "id": "b1"}, {"id": "2", "type": "post", "tags": ["tag1", "tag2"]}, {"id": "3", "type": "post"}],
-    "subjects": [{"id": "commons", "label": "commons", "subsumedby": "projects", "type": "Tag"}, {"id": "rhizome", "label": "rhizome", "subsumedby": "projects", "type": "Tag"}, {"id": "toread", "subsumedby": "actions", "type": "Tag"}, {"id": "projects", "type": "Tag"}, {"id": "actions", "type": "Tag"}, {"id": "c1", "subject": "commons", "content": "text one"}, {"id": "c2", "subject": "commons", "content": "text two"}, {"id": "c3", "subject": "rhizome", "content": "text three"}],
+    "subjects": [{"id": "commons", "label": "commons", "subsumedby": "projects", "type": "Tag"}, {"id": "garden", "label": "garden", "subsumedby": "projects", "type": "Tag"}, {"id": "toread", "subsumedby": "actions", "type": "Tag"}, {"id": "projects", "type": "Tag"}, {"id": "actions", "type": "Tag"}, {"id": "c1", "subject": "commons", "content": "text one"}, {"id": "c2", "subject": "commons", "content": "text two"}, {"id": "c3", "subject": "garden", "content": "text three"}],
     "semi": [{"label": "tag 1", "id": "tag1"}, {"label": "tag 2", "id": "tag2"}, {"id": "1", "type": "post", "tags": ["tag1"]}, {"id": "2", "type": "post", "tags": ["tag1", "tag2"]}, {"id": "3", "type": "post", "tags": ["tag1"]}],
     "nulls": [{"id": "1", "values": [None, None]}, {"id": "2", "values": [None, None]}, {"id": "3", "novalues": ""}, {"id": "4", "novalues": ""}],
     "halves": [{"id": "1", "prop1": [1, 2], "prop2": [2, 4]}, {"id": "2", "prop1": [1, 2], "prop2": [2, 4]}, {"id": "3", "prop1": [1, 2], "prop2": [6, 7]}],
@@ -50,15 +50,15 @@ CASES = [
     ("many", "{id, maybe tags, 'alltags': ?alltags.label where type = @post and {?alltags label}}", [{"alltags": ["tag 1", "tag 2"], "id": "3", "tags": None}, {"alltags": ["tag 1", "tag 2"], "id": "2", "tags": ["tag1", "tag2"]}]),
     ("many", "{?alltags id, 'posts': ?post.id, label where {?post type = @post}}", [{"id": "tag1", "label": "tag 1", "posts": ["2", "3"]}, {"id": "tag2", "label": "tag 2", "posts": ["2", "3"]}]),
     ("many", "{* where {a=1 and b=2}}", []),
-    ("subjects", "{?parent, id, 'contains': [{id where(subsumedby = ?parent)}]}", [{"contains": [{"id": "commons"}, {"id": "rhizome"}], "id": "projects"}, {"contains": [{"id": "toread"}], "id": "actions"}]),
+    ("subjects", "{?parent, id, 'contains': [{id where(subsumedby = ?parent)}]}", [{"contains": [{"id": "commons"}, {"id": "garden"}], "id": "projects"}, {"contains": [{"id": "toread"}], "id": "actions"}]),
     ("subjects", "{?tag, * where ?tag in (@foo, @commons)}", [{"id": "commons", "label": "commons", "subsumedby": "projects", "type": "Tag"}]),
     ("subjects", "{* where (id = ?tag and ?tag in (@foo, @commons))}", [{"id": "commons", "label": "commons", "subsumedby": "projects", "type": "Tag"}]),
-    ("subjects", "{id where (id not in (@foo, @commons) and subsumedby)}", [{"id": "toread"}, {"id": "rhizome"}]),
-    ("subjects", "{'inner': {?foo, id} where (?foo = subject)}", [{"inner": {"id": "commons"}}, {"inner": {"id": "commons"}}, {"inner": {"id": "rhizome"}}]),
+    ("subjects", "{id where (id not in (@foo, @commons) and subsumedby)}", [{"id": "toread"}, {"id": "garden"}]),
+    ("subjects", "{'inner': {?foo, id} where (?foo = subject)}", [{"inner": {"id": "commons"}}, {"inner": {"id": "commons"}}, {"inner": {"id": "garden"}}]),
     ("subjects", "{*, 'blah': [{* where(id = ?tag and ?tag = @dd)}] where (subject = ?tag)}", []),
     ("subjects", "{content, 'blah': [{id where(id = ?tag and ?tag = @commons)}] where (subject = ?tag)}", [{"blah": [{"id": "commons"}], "content": "text one"}, {"blah": [{"id": "commons"}], "content": "text two"}]),
     ("subjects", "{content, where ({id = ?tag and ?tag = @commons} and subject = ?tag)}", [{"content": "text one"}, {"content": "text two"}]),
-    ("subjects", "{subject, content group by subject}", [{"subject": "commons", "content": ["text one", "text two"]}, {"subject": "rhizome", "content": "text three"}]),
+    ("subjects", "{subject, content group by subject}", [{"subject": "commons", "content": ["text one", "text two"]}, {"subject": "garden", "content": "text three"}]),
     ("subjects", "{content group by subject}", [{"content": ["text one", "text two"]}, {"content": "text three"}]),
     ("many", "{id where {type = @post}}", [{"id": k} for k in ("2", "3", "b1", "tag1", "tag2")]),
     ("many", "{?tag * where (?tag = ?item.tags and {id = ?item and type = @post})}", [{"id": "tag1", "label": "tag 1"}, {"id": "tag2", "label": "tag 2"}]),
