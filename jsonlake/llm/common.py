@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
-#: The bytes and code points that separate words.
-SPACE_CLASS = r"[\x20\x09-\x0D]"
 
 
 def work_dir(spark: SparkSession, tag: str) -> str:
@@ -54,7 +52,3 @@ def crc_mod(col: Column, m: int) -> Column:
 def key_pair(col: Column) -> tuple[Column, Column]:
     """Two independent 64-bit hashes of a string: together a 128-bit key."""
     return F.xxhash64(col), F.xxhash64(F.lit("second"), col)
-
-
-def partitions_for(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

@@ -11,10 +11,9 @@ the template constants below, whatever the input.
 The phrases of ``PHRASES`` use the same join: each must have all of its pairs on
 one diagonal, so every diagonal is one place.
 
-Edge cases: a null text is the empty text (0 words, no labels, score 0);
-repeated rows each get their own result, also when they share a doc_id (a row
-key made of the scan's own row order is not needed: votes of equal doc_id add
-up under ``doc_id`` and the hash of the text); null doc_id is kept.
+Edge cases: a null text is the empty text (0 words, no labels, score 0); rows
+that share a doc_id are told apart by the hash of their text, and equal rows get
+equal results; a null doc_id is kept. Extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -18,7 +18,6 @@ one document and their words add up. Extra columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +28,6 @@ from pyspark.sql import functions as F
 SPACES = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
 EDGE = " \t\n\x0b\x0c\r"
-_BLANK = re.compile(r"[\x20\x09-\x0D]*")
 
 
 def repeated_words(ids: np.ndarray) -> int:
