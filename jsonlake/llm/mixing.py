@@ -5,12 +5,19 @@ posterior over domains. Non-negative document rates are then fitted by
 projected-gradient least squares, so that the expected tokens of each domain,
 sum(rate * tokens * posterior), match their targets.
 
-Classifier: naive Bayes over hashed words (the last sign of a word counts as its
-shape). Counts come from a bounded sample of ``sample_rows`` labelled documents;
-only the ``most_words`` hashes whose document counts deviate most (by at least
-``least_deviation`` standard errors, and by a factor of e**``least_ratio``
-in some domain) have weights, so the table that is
-broadcast to score all documents has a fixed bound.
+Classifier: log odds of word pieces. A distinct word of a text counts once, with
+its whole form (the last sign of a word counts as its shape) and its beginnings
+of ``SHORTEST`` to ``LONGEST`` letters, so that languages that build words from
+few roots are learned as well. Counts come from a bounded sample of
+``sample_rows`` labelled documents; equal texts of one domain count once. A
+piece speaks for a domain if it is at least e**``least_ratio`` times as common
+there as elsewhere; its smoothed log odds are shrunk by their standard error,
+1 - (``least_deviation`` / deviation)**2, where a document's repeated use of a
+piece widens the error. Of pieces that begin with each other only the one that
+deviates most stays, so a word has at most one. Words without a piece of a
+domain speak against it, by as much as they are rarer there. At most
+``most_words`` pieces have weights, so the table that is broadcast to score all
+documents has a fixed bound.
 
 Solver: the state is one rate per document in a stored table of tokens and
 posteriors; a step needs only the residual of each domain, one distributed sum.
@@ -30,31 +37,42 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored, work_dir
 
 #: Signs that stand for a word's shape when they end it.
 SHAPES = list("!*#$%&|")
+SHORTEST, LONGEST = 3, 8
+#: Pieces that the driver looks at for each one it keeps.
+CANDIDATES = 15
 
 
 def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")
 
 
-def word_bucket(word: Column) -> Column:
-    """A 64-bit hash: fewer buckets would let rare words of every text collide with telling ones."""
+def distinct_words(text: Column) -> Column:
+    return F.array_distinct(words_of(F.lower(text)))
+
+
+def word_token(word: Column) -> Column:
+    """The word as it is counted; ``word`` is in lower case."""
     end = F.substring(word, -1, 1)
-    token = F.when(end.isin(SHAPES), end).otherwise(F.lower(F.rtrim(word, F.lit(".,;:"))))
-    return F.xxhash64(token)
+    return F.when(end.isin(SHAPES), end).otherwise(F.rtrim(word, F.lit(".,;:")))
+
+
+def word_pieces(token: Column) -> list[Column]:
+    """The beginnings of a token and the whole token, which ends in NUL; null where the token is too short."""
+    return [*(F.when(F.char_length(token) > k, F.substring(token, 1, k)) for k in range(SHORTEST, LONGEST + 1)), F.concat(token, F.lit("\0"))]
 
 
 class DomainModel:
-    """Log priors by domain and, by bucket, the log-ratios of a domain's words to all words."""
+    """Log priors by domain; by 64-bit hash of a piece, what it says for each domain; what any word says against it."""
 
-    def __init__(self, domains: list[str], priors: list[float], buckets: list[tuple]):
-        self.domains, self.priors, self.buckets = domains, priors, buckets
+    def __init__(self, domains: list[str], priors: list[float], buckets: list[tuple], rest: list[float]):
+        self.domains, self.priors, self.buckets, self.rest = domains, priors, buckets, rest
 
 
 def label_domain() -> Column:
@@ -62,45 +80,70 @@ def label_domain() -> Column:
     return F.when(F.col("quality") == 0, "low").when((F.col("quality") == 1) & (F.col("toxic") == 1), "toxic").when((F.col("quality") == 1) & (F.col("toxic") == 0), "clean")
 
 
-def train(docs: DataFrame, labelled: DataFrame, domains: list[str], sample_rows: int = 12_000, most_words: int = 4_000, least_deviation: float = 10.0, least_ratio: float = 1.0) -> DomainModel:
+def train(docs: DataFrame, labelled: DataFrame, domains: list[str], sample_rows: int = 12_000, most_words: int = 4_000, least_deviation: float = 3.0, least_ratio: float = 2.0) -> DomainModel:
     """``labelled``: doc_id, domain."""
     if not 1 <= len(domains) <= 64:
         raise ValueError("between 1 and 64 domains")
+    each = range(len(domains))
     sample = labelled.where(F.col("doc_id").isNotNull() & F.col("domain").isin(domains)).orderBy(F.xxhash64("doc_id"), "doc_id", "domain").limit(sample_rows).select(F.col("doc_id").alias("__id"), "domain")
     rows = {r.domain: r.n for r in sample.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     total = sum(rows.values()) + len(domains)
     priors = [math.log((rows.get(d, 0) + 1) / total) for d in domains]
-    words = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("__id")).select("domain", F.explode(F.array_distinct(words_of(F.col("text")))).alias("w"))
-    by = words.select("domain", word_bucket(F.col("w")).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"), *(F.count_if(F.col("domain") == d).alias(f"n{k}") for k, d in enumerate(domains)))
-    by = stored(by, work_dir(docs.sparkSession, "mixwords") + "/counts")
-    sums = by.agg(F.sum("n").alias("n"), *(F.sum(f"n{k}").alias(f"n{k}") for k in range(len(domains)))).first()
-    if not sums.n:
-        return DomainModel(domains, priors, [])
-    # Documents with the word against those expected from the domain's share; far-out ones only.
-    seen = [F.col(f"n{k}") for k in range(len(domains))]
-    expected = [F.col("n") * F.lit(float(sums[f"n{k}"]) / float(sums.n)) for k in range(len(domains))]
-    far = [F.abs(o - e) / F.sqrt(e + 1.0) for o, e in zip(seen, expected, strict=True)]
-    # A word speaks for or against a domain only where both its deviation and its ratio are large:
-    # small shifts of common words would add up in long texts.
-    logs = [F.log((o + 1.0) / (e + 1.0)) for o, e in zip(seen, expected, strict=True)]
-    ratios = [F.when((F.abs(x) >= least_ratio) & (d >= least_deviation), x).otherwise(F.lit(0.0)).alias(f"r{k}") for k, (x, d) in enumerate(zip(logs, far, strict=True))]
-    strongest = F.greatest(*(F.abs(f"r{k}") for k in range(len(domains)))) if len(domains) > 1 else F.abs("r0")
-    top = by.select("bucket", *ratios, (F.greatest(*far) if len(far) > 1 else far[0]).alias("far")).where(strongest > 0).orderBy(F.desc("far"), "bucket").limit(most_words)
-    return DomainModel(domains, priors, [(r.bucket, *(float(r[f"r{k}"]) for k in range(len(domains)))) for r in top.collect()])
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("__id")).select("domain", "text", F.xxhash64("text").alias("key"))
+    folder = work_dir(docs.sparkSession, "mixwords")
+    texts = stored(texts.dropDuplicates(["key", "domain"]), folder + "/texts")
+    sums = texts.agg(*(F.sum(F.when(F.col("domain") == d, F.size(distinct_words(F.col("text"))))).alias(f"t{k}") for k, d in enumerate(domains))).first()
+    words = np.array([float(sums[f"t{k}"] or 0) for k in each])
+    if not words.sum():
+        return DomainModel(domains, priors, [], [0.0] * len(domains))
+    tokens = texts.repartition("key").select("key", "domain", F.explode(distinct_words(F.col("text"))).alias("w")).select("key", "domain", word_token(F.col("w")).alias("w"))
+    pieces = tokens.select("key", "domain", F.explode(F.array(*word_pieces(F.col("w")))).alias("piece")).where("piece IS NOT NULL")
+    # By document first: the variance of a piece's count is the sum of its squared counts by document.
+    by = pieces.groupBy("key", "domain", "piece").agg(F.count("*").alias("c"))
+    by = by.groupBy("piece").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("sq"), *(F.sum(F.when(F.col("domain") == d, F.col("c")).otherwise(0)).alias(f"n{k}") for k, d in enumerate(domains)))
+    n, seen = F.col("n"), [F.col(f"n{k}") for k in each]
+    share = words / words.sum()
+    far = [(o - n * float(share[k])) / F.sqrt(F.col("sq") * float(share[k]) + 1.0) for k, o in enumerate(seen)]
+    odds = [F.log((o + 0.5) / (n - o + 0.5)) - math.log((words[k] + 1) / (words.sum() - words[k] + 1)) for k, o in enumerate(seen)]
+    strong = [F.when((x >= least_ratio) & (z > least_deviation), z).otherwise(0.0) for x, z in zip(odds, far, strict=True)]
+    best = F.greatest(*strong) if len(strong) > 1 else strong[0]
+    chosen = by.select("piece", *seen, *(z.alias(f"z{k}") for k, z in enumerate(strong)), *(x.alias(f"r{k}") for k, x in enumerate(odds)), best.alias("best"), F.xxhash64("piece").alias("bucket"))
+    chosen = chosen.where("best > 0").orderBy(F.desc("best"), F.char_length("piece"), "piece").limit(CANDIDATES * most_words)
+    kept, inside = {}, set()
+    for r in chosen.collect():
+        plain = r.piece.rstrip("\0")
+        heads = [plain[:k] for k in range(SHORTEST, len(plain) + 1)]
+        if r.piece not in inside and not any(h in kept for h in heads):
+            kept[r.piece] = r
+            inside.update(heads)
+            if len(kept) == most_words:
+                break
+    rest = []
+    for k in each:
+        own = [r for r in kept.values() if r[f"z{k}"] > 0]
+        here = words[k] - sum(r[f"n{k}"] for r in own)
+        away = words.sum() - words[k] - sum(r[f"n{j}"] for r in own for j in each if j != k)
+        rest.append(min(0.0, math.log((here + 1) / (words[k] + 1)) - math.log((away + 1) / (words.sum() - words[k] + 1))))
+    # A word with a piece of the domain is not one of the rest.
+    weight = [lambda r, k=k: r[f"r{k}"] * (1 - (least_deviation / r[f"z{k}"]) ** 2) - rest[k] if r[f"z{k}"] > 0 else 0.0 for k in each]
+    return DomainModel(domains, priors, [(r.bucket, *(float(w(r)) for w in weight)) for r in kept.values()], rest)
 
 
 def posteriors(docs: DataFrame, model: DomainModel) -> DataFrame:
     """doc_id, tokens, p0..pk of every row."""
     spark, n = docs.sparkSession, range(len(model.domains))
-    base = docs.select("doc_id", F.size(words_of(F.col("text"))).cast("long").alias("tokens"))
+    base = docs.select("doc_id", F.size(words_of(F.col("text"))).cast("long").alias("tokens"), F.size(distinct_words(F.col("text"))).alias("own"))
     if model.buckets:
         table = F.broadcast(spark.createDataFrame(model.buckets, "b bigint, " + ", ".join(f"r{k} double" for k in n)))
-        words = docs.select("doc_id", F.explode(F.array_distinct(words_of(F.col("text")))).alias("w"))
-        sums = words.join(table, word_bucket(F.col("w")) == F.col("b")).groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("hits"), *(F.sum(f"r{k}").alias(f"s{k}") for k in n))
+        words = docs.select("doc_id", F.explode(distinct_words(F.col("text"))).alias("w")).select("doc_id", word_token(F.col("w")).alias("w"))
+        # The hash of null is its seed, not null.
+        hashes = words.select("doc_id", F.explode(F.array(*(F.when(p.isNotNull(), F.xxhash64(p)) for p in word_pieces(F.col("w"))))).alias("bucket"))
+        sums = hashes.join(table, F.col("bucket") == F.col("b")).groupBy(F.col("doc_id").alias("__id")).agg(*(F.sum(f"r{k}").alias(f"s{k}") for k in n))
+        base = base.withColumn("own", F.sum("own").over(Window.partitionBy("doc_id")))
         base = base.join(sums, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
     else:
-        base = base.select("*", F.lit(0).alias("hits"), *(F.lit(0.0).alias(f"s{k}") for k in n))
-    logits = [F.lit(model.priors[k]) + F.coalesce(F.col(f"s{k}"), F.lit(0.0)) for k in n]
+        base = base.select("*", *(F.lit(0.0).alias(f"s{k}") for k in n))
+    logits = [F.lit(model.priors[k]) + F.coalesce(F.col(f"s{k}"), F.lit(0.0)) + F.col("own") * F.lit(float(model.rest[k])) for k in n]
     base = base.select("doc_id", "tokens", *(x.alias(f"l{k}") for k, x in enumerate(logits)))
     top = F.greatest(*(F.col(f"l{k}") for k in n)) if len(model.domains) > 1 else F.col("l0")
     base = base.select("doc_id", "tokens", *(F.exp(F.col(f"l{k}") - top).alias(f"e{k}") for k in n))

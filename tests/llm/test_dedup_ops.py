@@ -248,6 +248,31 @@ def test_mixing_reaches_targets(spark):
     assert mixing.mix(docs.limit(0), lab, targets).count() == 0
 
 
+@pytest.mark.parametrize("few", [15, 60])
+def test_few_labels_of_each_language_are_learned(spark, few):
+    """Production defaults; a language has ``few`` labelled toxic documents, whose words share a root or are fixed."""
+    rng = np.random.default_rng(3)
+    rows, labels, tongue = [], [], {}
+    for lang, roots_ in {"xa": ["achlich", "keitach"], "xb": ["boco"], "xc": ["idiot", "scum"]}.items():
+        ends = [lang[1] + "".join(rng.choice(list("mnrst"), 4)) for _ in range(400)]
+        for i in range(few * 20):
+            toxic = i % 10 == 0
+            words = list(rng.choice(ends, int(rng.integers(30, 90))))
+            if toxic:
+                words[:6] = [str(rng.choice(roots_)) + ("" if lang == "xc" else str(rng.choice(ends))) for _ in range(6)]
+            k = len(rows)
+            rows.append((k, " ".join(words), None, None, None))
+            tongue[k] = (lang, toxic)
+            if i % 20 < 10:
+                labels.append((k, "toxic" if toxic else "clean"))
+    plan = mixing.mix(spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, domain string"), {"clean": 0.98, "toxic": 0.02}, anchor="clean", max_rate=1.0)
+    got = {r.doc_id: r.p_toxic for r in plan.collect()}
+    held_out = set(tongue) - {k for k, _ in labels}
+    for lang in ("xa", "xb", "xc"):
+        assert np.mean([got[k] > 0.5 for k in held_out if tongue[k] == (lang, True)]) >= 0.9, lang
+        assert np.mean([got[k] < 0.5 for k in held_out if tongue[k] == (lang, False)]) >= 0.99, lang
+
+
 def test_projected_gradient_against_least_squares(spark):
     rng = np.random.default_rng(1)
     p = rng.dirichlet([0.3, 0.3, 0.3], 200)
