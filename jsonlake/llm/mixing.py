@@ -132,7 +132,8 @@ def train(docs: DataFrame, labelled: DataFrame, domains: list[str], sample_rows:
 def posteriors(docs: DataFrame, model: DomainModel) -> DataFrame:
     """doc_id, tokens, p0..pk of every row."""
     spark, n = docs.sparkSession, range(len(model.domains))
-    base = docs.select("doc_id", F.size(words_of(F.col("text"))).cast("long").alias("tokens"), F.size(distinct_words(F.col("text"))).alias("own"))
+    # Lower case leaves the number of words as it is, so both sizes come from one split.
+    base = docs.select("doc_id", F.size(words_of(F.lower(F.col("text")))).cast("long").alias("tokens"), F.size(distinct_words(F.col("text"))).alias("own"))
     if model.buckets:
         table = F.broadcast(spark.createDataFrame(model.buckets, "b bigint, " + ", ".join(f"r{k} double" for k in n)))
         words = docs.select("doc_id", F.explode(distinct_words(F.col("text"))).alias("w")).select("doc_id", word_token(F.col("w")).alias("w"))
