@@ -109,7 +109,8 @@ def assess(docs: DataFrame, host: str = "source", min_docs: int = 20, max_share:
     base = base_rules(docs).groupBy("doc_id").agg(*(F.sum(c).alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")))
     lines = line_table(docs, host)
     sizes = docs.groupBy(F.col(host).cast("string").alias("__host")).agg(F.count("*").alias("__docs"))
-    per_line = lines.groupBy("host", "line").agg(F.count("*").alias("__n"), F.min("doc_id").alias("__first")).where(F.col("__n") > min_docs)
+    # Rows that repeat a doc_id are one holder of a line.
+    per_line = lines.select("doc_id", "host", "line").distinct().groupBy("host", "line").agg(F.count("*").alias("__n"), F.min("doc_id").alias("__first")).where(F.col("__n") > min_docs)
     over = per_line.join(sizes, F.col("host").eqNullSafe(F.col("__host"))).where(F.col("__n") > F.greatest(F.lit(float(min_docs)), F.lit(max_share) * F.col("__docs"))).select(F.col("host").alias("__h"), F.col("line").alias("__l"), "__first")
     lost = (
         lines.join(over, (F.col("line") == F.col("__l")) & F.col("host").eqNullSafe(F.col("__h")) & (F.col("doc_id") != F.col("__first")))

@@ -72,6 +72,14 @@ def test_line_dedup(spark, batches):
     assert {r.doc_id: r.text for r in again.collect()} == {i: "\n".join(x) for i, x in want.items()}
 
 
+@pytest.mark.parametrize("batches", [1, 3])
+def test_a_repeated_row_is_no_further_holder_of_a_line(spark, batches):
+    line = "a line that two documents hold"
+    rows = [(5, f"{line}\nfive"), (5, f"{line}\nfive"), (3, f"{line}\nthree")]
+    out = line_dedup.drop_lines(spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCS), batches=batches)
+    assert sorted((r.doc_id, r.text) for r in out.collect()) == sorted(rows)
+
+
 def test_index_levels(spark):
     df = spark.createDataFrame([(i, f"line number {i % 7:030d}", None, None, None) for i in range(70)], DOCS)
     index = line_dedup.build_index(df, work_dir(spark, "idx"), 5, 20)

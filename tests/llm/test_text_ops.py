@@ -104,6 +104,14 @@ def test_line_frequency(spark):
     assert quality_rules.assess(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_a_repeated_row_is_no_further_holder_of_a_line(spark):
+    line = " ".join(f"b{j}" for j in range(60))
+    rows = [(k, line, None, "s", None, None) for k in range(20)]
+    rows += [rows[0]] * 3
+    got = quality_rules.assess(spark.createDataFrame(rows, DOCS)).collect()  # twenty documents: not over the limit
+    assert len(got) == 20 and all(r.lost_words == 0 and r.kept for r in got)
+
+
 def brute_license(text):
     words = license_scan.template_words(text or "")
     places = [(i, lab) for p, lab in license_scan.PHRASES.items() for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
