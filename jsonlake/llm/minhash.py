@@ -313,6 +313,14 @@ def with_component(buckets: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, share: int = 75) -> DataFrame:
-    """The rows of ``docs`` whose document is kept, all columns as they were."""
-    kept = near_duplicates(docs, share).where("kept").select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("__keep"), "left_semi")
+    """The rows of ``docs`` whose document is kept, all columns as they were.
+
+    Rows with a null doc_id all stay; of rows that repeat a kept doc_id one stays.
+    """
+    kept = near_duplicates(docs, share).where("kept").groupBy(F.col("doc_id").alias("__keep")).agg(F.count("*").alias("__rows"))
+    kept = stored(kept, work_dir(docs.sparkSession, "minhash-kept"))
+    same = F.col("doc_id") == F.col("__keep")
+    once = docs.join(kept.where("__rows = 1"), same, "left_semi")
+    # Only repeated ids are sorted out by id, so whole texts are not shuffled for the others.
+    again = docs.join(kept.where("__rows > 1"), same, "left_semi").dropDuplicates(["doc_id"])
+    return once.unionByName(again).unionByName(docs.where(F.col("doc_id").isNull()))

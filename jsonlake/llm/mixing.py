@@ -200,8 +200,13 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], total_t
 
 
 def resample(docs: DataFrame, plan: DataFrame) -> DataFrame:
-    """Each row of ``docs`` as often as ``plan`` (doc_id, copies) says, all columns as they were."""
+    """Each row of ``docs`` as often as ``plan`` (doc_id, copies) says, all columns as they were.
+
+    Rows with a null doc_id have no copies of their own to look up: each stays once if ``plan`` has such rows.
+    """
     names = docs.columns
     once = plan.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies"))
     joined = docs.join(once.where("__copies > 0"), F.col("doc_id") == F.col("__id"))
-    return joined.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*names)
+    drawn = joined.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*names)
+    planned = plan.where("doc_id IS NULL").select(F.lit(True).alias("__planned")).limit(1)
+    return drawn.unionByName(docs.where("doc_id IS NULL").crossJoin(F.broadcast(planned)).select(*names))

@@ -131,6 +131,16 @@ def test_minhash_against_all_pairs(spark, block):
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted(i for i in want if want[i] == i)
 
 
+def test_null_and_repeated_ids_through_the_pipeline_stages(spark):
+    rows = [(None, "a null id", None, 1, None), (None, "a null id", None, 2, None), (4, "one two three four five six", None, 3, None), (4, "one two three four five six", None, 3, None), (6, "one two three four five six", None, 4, None), (7, "another text", None, 5, None)]
+    docs = spark.createDataFrame(rows, DOCS)
+    kept = minhash.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(r.h1 for r in kept.collect()) == [1, 2, 3, 5]
+    plan = spark.createDataFrame([(None, 1), (None, 1), (4, 2), (6, 0), (7, 1)], "doc_id long, copies int")
+    assert sorted(r.h1 for r in mixing.resample(docs, plan).collect()) == [1, 2, 3, 3, 3, 3, 5]
+    assert sorted(r.h1 for r in mixing.resample(docs, plan.where("doc_id > 4")).collect()) == [5]
+
+
 def test_minhash_empty(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
     lone = minhash.near_duplicates(spark.createDataFrame([(None, "a b", None, None, None), (3, None, None, None, None)], DOCS)).collect()
