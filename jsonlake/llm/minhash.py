@@ -16,8 +16,9 @@ that join components, not pairs. So no candidate link between components is
 lost. Every link is confirmed on the full shingle sets, made again from the
 whole texts.
 
-With perms=48 and 24 bands of 4 values a pair of similarity 0.75 shares a
-bucket with probability 0.9999.
+With perms=48 and 24 bands of 4 values a pair of large sets of similarity 0.75
+shares a bucket with probability 0.9999; small sets, whose minimum and maximum
+depend on each other, with less (3 of 4 shingles: 0.999, 6 of 8: 0.9997).
 
 Edge cases: null or blank texts have an empty set, link with nothing and are
 kept; case differs only in A-Z; null doc_id rows are ignored for links and get
