@@ -19,28 +19,40 @@ domain speak against it, by as much as they are rarer there. At most
 ``most_words`` pieces have weights, so the table that is broadcast to score all
 documents has a fixed bound.
 
-Solver: the state is one rate per document in a stored table of tokens and
-posteriors; a step needs only the residual of each domain, one distributed sum.
-Steps are measured by tokens and by the inverse Gram matrix of the domains, for
-which a step of 1 is the inverse of the Lipschitz constant, and every iterate is
-projected to 0..max_rate. Domains are few (at most 64, checked).
+Solver: minimise half the squared distance of the domains' tokens from their
+targets over rates in 0..max_rate. Steps are projected gradient steps in the
+metric of tokens, in which clipping each rate is the projection; the plain step
+is 1/L with L the largest eigenvalue of the domains' Gram matrix, and rates that
+are not held at a bound also get a step scaled by the inverse Gram matrix of
+these rates (two-metric projection). One distributed sum evaluates all steps at
+several lengths, the best one is taken, so the distance never grows. The same
+sum gives the duality gap sum(gradient * rate) - min over rates, a bound of how
+far the distance is from its least value; the solver stops when that gap is at
+most ``tolerance`` of half the squared distance, the distance is next to 0, or
+no step lowers it within the precision of sums; it warns if ``most_steps`` do
+not suffice, and the misfit is part of every result. Rates live in a stored
+table; only sums by domain come to the driver. Domains are few (at most 64,
+checked).
 
 Edge cases: a document without words has 0 tokens and the prior as posterior and
 rate 1; null labels do not train; without labelled rows all posteriors are
 equal; a domain without tokens gets none; ties do not occur (rates are a
-function of tokens and posterior). Null doc_id rows keep rate and posterior.
-Repeated rows of a doc_id share one posterior and count their tokens each.
+function of tokens and posterior). A row is scored by its own text, whatever its
+doc_id: null doc_id rows and rows that repeat a doc_id with other texts keep
+their own posteriors, and equal rows get equal results, one each.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
+from typing import NamedTuple
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, work_dir
+from .common import remove_dir, stored, work_dir
 
 #: Signs that stand for a word's shape when they end it.
 SHAPES = list("!*#$%&|")
@@ -80,7 +92,7 @@ def label_domain() -> Column:
     return F.when(F.col("quality") == 0, "low").when((F.col("quality") == 1) & (F.col("toxic") == 1), "toxic").when((F.col("quality") == 1) & (F.col("toxic") == 0), "clean")
 
 
-def train(docs: DataFrame, labelled: DataFrame, domains: list[str], sample_rows: int = 12_000, most_words: int = 4_000, least_deviation: float = 3.0, least_ratio: float = 2.0) -> DomainModel:
+def train(docs: DataFrame, labelled: DataFrame, domains: list[str], sample_rows: int = 12_000, most_words: int = 4_000, least_deviation: float = 3.0, least_ratio: float = 2.0, folder: str | None = None) -> DomainModel:
     """``labelled``: doc_id, domain."""
     if not 1 <= len(domains) <= 64:
         raise ValueError("between 1 and 64 domains")
@@ -90,8 +102,7 @@ def train(docs: DataFrame, labelled: DataFrame, domains: list[str], sample_rows:
     total = sum(rows.values()) + len(domains)
     priors = [math.log((rows.get(d, 0) + 1) / total) for d in domains]
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("__id")).select("domain", "text", F.xxhash64("text").alias("key"))
-    folder = work_dir(docs.sparkSession, "mixwords")
-    texts = stored(texts.dropDuplicates(["key", "domain"]), folder + "/texts")
+    texts = stored(texts.dropDuplicates(["key", "domain"]), f"{folder or work_dir(docs.sparkSession, 'mix')}/labelled")
     sums = texts.agg(*(F.sum(F.when(F.col("domain") == d, F.size(distinct_words(F.col("text"))))).alias(f"t{k}") for k, d in enumerate(domains))).first()
     words = np.array([float(sums[f"t{k}"] or 0) for k in each])
     if not words.sum():
@@ -132,71 +143,125 @@ def train(docs: DataFrame, labelled: DataFrame, domains: list[str], sample_rows:
 def posteriors(docs: DataFrame, model: DomainModel) -> DataFrame:
     """doc_id, tokens, p0..pk of every row."""
     spark, n = docs.sparkSession, range(len(model.domains))
-    # Lower case leaves the number of words as it is, so both sizes come from one split.
-    base = docs.select("doc_id", F.size(words_of(F.lower(F.col("text")))).cast("long").alias("tokens"), F.size(distinct_words(F.col("text"))).alias("own"))
+    key = F.xxhash64("text").alias("tkey")
+    # Lower case leaves the number of words as it is, so both sizes come from one split. Equal rows are scored once.
+    base = docs.select("doc_id", key, F.size(words_of(F.lower(F.col("text")))).cast("long").alias("tokens"), F.size(distinct_words(F.col("text"))).alias("own"))
+    base = base.groupBy("doc_id", "tkey").agg(F.first("tokens").alias("tokens"), F.first("own").alias("own"), F.count("*").alias("rows"))
     if model.buckets:
         table = F.broadcast(spark.createDataFrame(model.buckets, "b bigint, " + ", ".join(f"r{k} double" for k in n)))
-        words = docs.select("doc_id", F.explode(distinct_words(F.col("text"))).alias("w")).select("doc_id", word_token(F.col("w")).alias("w"))
+        words = docs.select("doc_id", key, F.explode(distinct_words(F.col("text"))).alias("w")).select("doc_id", "tkey", word_token(F.col("w")).alias("w"))
         # The hash of null is its seed, not null.
-        hashes = words.select("doc_id", F.explode(F.array(*(F.when(p.isNotNull(), F.xxhash64(p)) for p in word_pieces(F.col("w"))))).alias("bucket"))
-        sums = hashes.join(table, F.col("bucket") == F.col("b")).groupBy(F.col("doc_id").alias("__id")).agg(*(F.sum(f"r{k}").alias(f"s{k}") for k in n))
-        base = base.withColumn("own", F.sum("own").over(Window.partitionBy("doc_id")))
-        base = base.join(sums, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+        hashes = words.select("doc_id", "tkey", F.explode(F.array(*(F.when(p.isNotNull(), F.xxhash64(p)) for p in word_pieces(F.col("w"))))).alias("bucket"))
+        sums = hashes.join(table, F.col("bucket") == F.col("b")).groupBy(F.col("doc_id").alias("__id"), F.col("tkey").alias("__key")).agg(*(F.sum(f"r{k}").alias(f"s{k}") for k in n))
+        base = base.join(sums, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("tkey") == F.col("__key")), "left")
     else:
         base = base.select("*", *(F.lit(0.0).alias(f"s{k}") for k in n))
-    logits = [F.lit(model.priors[k]) + F.coalesce(F.col(f"s{k}"), F.lit(0.0)) + F.col("own") * F.lit(float(model.rest[k])) for k in n]
-    base = base.select("doc_id", "tokens", *(x.alias(f"l{k}") for k, x in enumerate(logits)))
+    logits = [F.lit(model.priors[k]) + F.coalesce(F.col(f"s{k}"), F.lit(0.0)) / F.col("rows") + F.col("own") * F.lit(float(model.rest[k])) for k in n]
+    base = base.select("doc_id", "tokens", "rows", *(x.alias(f"l{k}") for k, x in enumerate(logits)))
     top = F.greatest(*(F.col(f"l{k}") for k in n)) if len(model.domains) > 1 else F.col("l0")
-    base = base.select("doc_id", "tokens", *(F.exp(F.col(f"l{k}") - top).alias(f"e{k}") for k in n))
+    base = base.select("doc_id", "tokens", "rows", *(F.exp(F.col(f"l{k}") - top).alias(f"e{k}") for k in n))
     total = sum((F.col(f"e{k}") for k in n), F.lit(0.0))
-    return base.select("doc_id", "tokens", *((F.col(f"e{k}") / total).alias(f"p{k}") for k in n))
+    base = base.withColumn("__total", total).withColumn("__row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+    return base.select("doc_id", "tokens", *((F.col(f"e{k}") / F.col("__total")).alias(f"p{k}") for k in n))
 
 
-def solve(table: DataFrame, weights: list[float], total: float | None, anchor: int | None, max_rate: float, steps: int = 25, tolerance: float = 1e-4) -> tuple[Column, list[float], list[float]]:
-    """Projected gradient on rates. Returns the rate as a column of ``table``, targets and reached tokens by domain."""
+class Mixture(NamedTuple):
+    """Rates by row and what they reach; ``gap`` bounds how far the distance from the targets is above its least value."""
+
+    table: DataFrame
+    target: list[float]
+    reached: list[float]
+    misfit: float
+    gap: float
+    steps: int
+
+
+#: Lengths of the plain and of the scaled steps that are tried in each round.
+PLAIN, SCALED = (1.0, 8.0, 64.0), (1.0, 0.5, 0.2, 0.05)
+#: Distance from the targets, as a share of the mixture, that counts as none.
+CLOSE = 1e-4
+#: Rounds between two stored tables of rates.
+STORE_EVERY = 4
+
+
+def solve(table: DataFrame, weights: list[float], total: float | None, anchor: int | None, max_rate: float, folder: str, most_steps: int = 60, tolerance: float = 1e-3) -> Mixture:
+    """Projected gradient on rates over ``table`` (tokens, p0..pk, more columns pass): adds the column ``rate``."""
     n = range(len(weights))
-    t = F.col("tokens").cast("double")
-    first = table.agg(F.sum(t).alias("all"), *(F.sum(t * F.col(f"p{k}")).alias(f"m{k}") for k in n), *(F.sum(t * F.col(f"p{i}") * F.col(f"p{j}")).alias(f"g{i}_{j}") for i in n for j in n if i <= j)).first()
+    t, rate = F.col("tokens").cast("double"), F.col("rate")
+    p = [F.col(f"p{k}") for k in n]
+    pairs = [(i, j) for i in n for j in n if i <= j]
+    first = table.agg(F.sum(t).alias("all"), *(F.sum(t * p[k]).alias(f"m{k}") for k in n), *(F.sum(t * p[i] * p[j]).alias(f"g{i}_{j}") for i, j in pairs)).first()
     mass = np.array([float(first[f"m{k}"] or 0) for k in n])
-    share = np.array(weights) / sum(weights)
+    share = np.array(weights, dtype=float) / sum(weights)
     whole = float(first["all"] or 0) if total is None else float(total)
     if anchor is not None and share[anchor] > 0:
         whole = mass[anchor] / share[anchor]
     target = share * whole
-    gram = np.array([[float(first[f"g{min(i, j)}_{max(i, j)}"] or 0) for j in n] for i in n])
-    inverse = np.linalg.pinv(gram + np.eye(len(weights)) * max(float(np.trace(gram)), 1.0) * 1e-9)
-    # rate_0 = 1; rate_{s+1} = clip(rate_s - posterior . (inverse @ residual_s)). The expression nests once per step.
-    rate, reached = F.lit(1.0), mass
-    for _ in range(steps):
+
+    def gram_of(row) -> np.ndarray:
+        return np.array([[float(row[f"g{min(i, j)}_{max(i, j)}"] or 0) for j in n] for i in n])
+
+    def product(v: np.ndarray) -> Column:
+        return sum((p[k] * float(v[k]) for k in n), F.lit(0.0))
+
+    top = max(float(np.linalg.eigvalsh(gram_of(first))[-1]), 1e-300)
+    clip = lambda x: F.least(F.lit(float(max_rate)), F.greatest(F.lit(0.0), x))
+    state = table.withColumn("rate", F.lit(min(1.0, float(max_rate))))
+    reached = mass * min(1.0, float(max_rate))
+    steps, made = 0, None
+    while True:
         residual = reached - target
-        if not len(weights) or np.abs(residual).max() <= tolerance * max(whole, 1.0):
+        distance = float(residual @ residual)
+        # One pass: the duality gap and the Gram matrix of the rates that their gradient does not hold at a bound.
+        slope = product(residual)
+        held = ((rate <= 1e-9) & (F.col("__slope") > 0)) | ((rate >= max_rate - 1e-9) & (F.col("__slope") < 0))
+        sloped = state.withColumn("__slope", slope).withColumn("__held", held)
+        free = F.when(~F.col("__held"), t).otherwise(0.0)
+        row = sloped.agg(F.sum(t * (F.col("__slope") * rate - F.least(F.lit(0.0), F.col("__slope")) * float(max_rate))).alias("gap"), *(F.sum(free * p[i] * p[j]).alias(f"g{i}_{j}") for i, j in pairs)).first()
+        gap = float(row["gap"] or 0)
+        # distance / 2 is at most gap above its least value.
+        if distance <= (CLOSE * max(whole, 1.0)) ** 2 or gap <= tolerance * distance / 2:
             break
-        move = inverse @ residual
-        rate = F.least(F.lit(float(max_rate)), F.greatest(F.lit(0.0), rate - sum((F.col(f"p{k}") * float(move[k]) for k in n), F.lit(0.0))))
-        now = table.agg(*(F.sum(t * F.col(f"p{k}") * rate).alias(f"m{k}") for k in n)).first()
-        new = np.array([float(now[f"m{k}"] or 0) for k in n])
-        settled = np.abs(new - reached).max() <= tolerance * max(whole, 1.0) * 0.1
-        reached = new
-        if settled:
+        if steps == most_steps:
+            warnings.warn(f"the rates did not settle in {most_steps} steps: duality gap {gap:.4g} at {distance / 2:.4g}", RuntimeWarning, stacklevel=2)
             break
-    return rate, target.tolist(), reached.tolist()
-
-
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], total_tokens: float | None = None, anchor: str | None = None, max_rate: float = 8.0, snap: float = 0.05, **how) -> DataFrame:
-    """doc_id, tokens, p_<domain>, rate, copies of every row.
+        own = gram_of(row)
+        scaled = np.linalg.pinv(own + np.eye(len(weights)) * 1e-12 * top, hermitian=True) @ residual
+        moves = [clip(rate - F.col("__slope") * (a / top)) for a in PLAIN]
+        moves += [F.when(F.col("__held"), rate).otherwise(clip(rate - product(scaled) * a)) for a in SCALED]
+        tried = sloped.select("tokens", *(f"p{k}" for k in n), *(m.alias(f"x{j}") for j, m in enumerate(moves)))
+        sums = tried.agg(*(F.sum(t * p[k] * F.col(f"x{j}")).alias(f"s{j}_{k}") for j in range(len(moves)) for k in n)).first()
+        ends = [np.array([float(sums[f"s{j}_{k}"] or 0) for k in n]) for j in range(len(moves))]
+        best = min(range(len(moves)), key=lambda j: float(((ends[j] - target) ** 2).sum()))
+        if float(((ends[best] - target) ** 2).sum()) >= distance:
+            break  # no step helps within the precision of sums
+        state = sloped.select(*table.columns, moves[best].alias("rate"))
+        reached = ends[best]
+        steps += 1
+        if steps % STORE_EVERY == 0:
+            before, made = made, f"{folder}/rates{steps}"
+            state = stored(state, made)
+            if before:
+                remove_dir(table.sparkSession, before)
+    return Mixture(state, target.tolist(), reached.tolist(), math.sqrt(distance) / max(whole, 1.0), gap, steps)
+
+
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], total_tokens: float | None = None, anchor: str | None = None, max_rate: float = 8.0, **how) -> DataFrame:
+    """doc_id, tokens, p_<domain>, rate, copies, misfit of every row.
 
     ``targets``: weight by domain. ``total_tokens``: size of the mixture (default: that of the input).
     ``anchor``: instead, the size at which this domain keeps its expected tokens. ``copies`` rounds the rate
-    by a hash of doc_id, so its expectation is the rate; a rate within ``snap`` of a whole number is that number.
+    up or down by a hash of doc_id and tokens, so its expectation is the rate. ``misfit`` is the same in all
+    rows: the distance of the reached from the target tokens of the domains over the size of the mixture.
     """
     domains = list(targets)
-    model = train(docs, labelled, domains, **how)
-    table = stored(posteriors(docs, model), work_dir(docs.sparkSession, "mix") + "/posteriors")
-    rate, _, _ = solve(table, [targets[d] for d in domains], total_tokens, domains.index(anchor) if anchor else None, max_rate)
-    out = table.withColumn("rate", rate)
-    uniform = F.pmod(F.xxhash64(F.lit("mix"), F.col("doc_id")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    copies = F.when(F.abs(F.col("rate") - F.round("rate")) <= snap, F.round("rate")).otherwise(F.floor(F.col("rate") + uniform)).cast("int")
-    return out.select("doc_id", "tokens", *(F.col(f"p{k}").alias(f"p_{d}") for k, d in enumerate(domains)), "rate", copies.alias("copies"))
+    folder = work_dir(docs.sparkSession, "mix")
+    model = train(docs, labelled, domains, folder=folder, **how)
+    table = stored(posteriors(docs, model), f"{folder}/posteriors")
+    got = solve(table, [targets[d] for d in domains], total_tokens, domains.index(anchor) if anchor else None, max_rate, folder)
+    uniform = F.pmod(F.xxhash64(F.lit("mix"), F.col("doc_id"), F.col("tokens")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    copies = F.floor(F.col("rate") + uniform).cast("int")
+    return got.table.select("doc_id", "tokens", *(F.col(f"p{k}").alias(f"p_{d}") for k, d in enumerate(domains)), "rate", copies.alias("copies"), F.lit(got.misfit).alias("misfit"))
 
 
 def resample(docs: DataFrame, plan: DataFrame) -> DataFrame:

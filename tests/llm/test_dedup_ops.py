@@ -251,14 +251,15 @@ def test_mixing_reaches_targets(spark):
     docs = spark.createDataFrame(rows, DOCS)
     lab = spark.createDataFrame([*labels, (5, None), (None, "clean")], "doc_id long, domain string")
     targets = {"clean": 0.5, "toxic": 0.3, "low": 0.2}
-    plan = mixing.mix(docs.where("doc_id < 900"), lab, targets, least_deviation=3.0)
+    plan = mixing.mix(docs.where("doc_id < 900"), lab, targets)
     out = plan.toPandas()
     assert (out.rate >= 0).all() and len(out) == 601
     total = out.tokens.sum()
     for d, share in targets.items():
         assert abs((out.rate * out.tokens * out[f"p_{d}"]).sum() / total - share) < 0.01
     assert abs((out.copies * out.tokens).sum() / total - 1) < 0.1  # rounding keeps the expectation
-    all_rows = mixing.mix(docs, lab, targets, anchor="clean", max_rate=1.0, least_deviation=3.0).toPandas()
+    assert out.misfit.nunique() == 1 and out.misfit[0] < 0.01
+    all_rows = mixing.mix(docs, lab, targets, anchor="clean", max_rate=1.0).toPandas()
     assert len(all_rows) == len(rows) and all_rows.rate.between(0, 1).all()
     same = mixing.resample(docs, plan)
     assert same.columns == docs.columns and same.count() == int(out.drop_duplicates("doc_id").set_index("doc_id").copies.reindex([r[0] for r in rows if r[0] is not None and r[0] < 900]).sum())
@@ -291,12 +292,57 @@ def test_few_labels_of_each_language_are_learned(spark, few):
         assert np.mean([got[k] < 0.5 for k in held_out if tongue[k] == (lang, False)]) >= 0.99, lang
 
 
-def test_projected_gradient_against_least_squares(spark):
+def bounded_least_squares(p, tokens, target, most, steps=20_000):
+    """Accelerated projected gradient in numpy, with restarts."""
+    top = np.linalg.eigvalsh((p * tokens[:, None]).T @ p)[-1]
+    r = np.ones(len(p))
+    y, pace, last = r.copy(), 1.0, math.inf
+    for _ in range(steps):
+        new = np.clip(y - p @ (p.T @ (y * tokens) - target) / top, 0, most)
+        now = ((p.T @ (new * tokens) - target) ** 2).sum()
+        if now > last:
+            y, pace, last = r.copy(), 1.0, math.inf
+            continue
+        quick = (1 + math.sqrt(1 + 4 * pace * pace)) / 2
+        y, r, pace, last = new + (pace - 1) / quick * (new - r), new, quick, now
+    return p.T @ (r * tokens)
+
+
+@pytest.mark.parametrize(("weights", "anchor", "most"), [([0.6, 0.3, 0.1], None, 8.0), ([0.97, 0.02, 0.01], 0, 1.0), ([0.01, 0.01, 0.98], None, 1.5), ([1.0, 0.0, 0.0], None, 2.0)])
+def test_projected_gradient_against_least_squares(spark, weights, anchor, most):
     rng = np.random.default_rng(1)
     p = rng.dirichlet([0.3, 0.3, 0.3], 200)
-    rows = [(int(t), *map(float, x)) for t, x in zip(rng.integers(10, 90, 200), p, strict=True)]
-    table = spark.createDataFrame(rows, "tokens long, p0 double, p1 double, p2 double")
-    rate, target, reached = mixing.solve(table, [0.6, 0.3, 0.1], None, None, 8.0)
-    r = np.array([x.r for x in table.select(rate.alias("r")).collect()])
-    assert (r >= 0).all() and np.allclose(reached, target, rtol=1e-2)
-    assert np.allclose(((r * [x[0] for x in rows])[:, None] * p).sum(axis=0), reached)
+    tokens = rng.integers(10, 90, 200).astype(float)
+    table = spark.createDataFrame([(int(t), *map(float, x)) for t, x in zip(tokens, p, strict=True)], "tokens long, p0 double, p1 double, p2 double")
+    got = mixing.solve(table, weights, None, anchor, most, work_dir(spark, "t"))
+    rows = got.table.collect()
+    r = np.array([x.rate for x in rows])
+    assert (r >= 0).all() and (r <= most).all()
+    own = np.array([[x.p0, x.p1, x.p2] for x in rows])
+    assert np.allclose(((r * [x.tokens for x in rows])[:, None] * own).sum(axis=0), got.reached)
+    target = np.array(got.target)
+    least = np.linalg.norm(bounded_least_squares(p, tokens, target, most) - target)
+    assert np.linalg.norm(np.array(got.reached) - target) <= 1.01 * least + mixing.CLOSE * target.sum()
+    assert math.isclose(got.misfit * target.sum(), np.linalg.norm(np.array(got.reached) - target), abs_tol=1e-6)
+
+
+def test_many_domains(spark):
+    rng = np.random.default_rng(2)
+    p = rng.dirichlet([0.2] * 20, 100)
+    table = spark.createDataFrame([(50, *map(float, x)) for x in p], "tokens long, " + ", ".join(f"p{k} double" for k in range(20)))
+    got = mixing.solve(table, [1.0] * 20, None, None, 8.0, work_dir(spark, "t"))
+    assert got.misfit <= 1e-3
+
+
+def test_rows_keep_their_own_posterior(spark):
+    texts = [("c1 c2 c3", "clean"), ("t1 t2 t3", "toxic")]
+    rows = [(i, " ".join([texts[i % 2][0]] * 9) + f" w{i}", None, None, None) for i in range(80)]
+    labels = [(i, texts[i % 2][1]) for i in range(80)]
+    more = [(None, texts[0][0], None, None, None), (None, texts[1][0], None, None, None), (5, texts[0][0], None, None, None), (5, texts[1][0], None, None, None), (5, texts[1][0], None, None, None)]
+    plan = mixing.mix(spark.createDataFrame(rows + more, DOCS), spark.createDataFrame(labels, "doc_id long, domain string"), {"clean": 0.5, "toxic": 0.5})
+    out = plan.collect()
+    assert len(out) == len(rows) + len(more)
+    null = sorted(r.p_toxic for r in out if r.doc_id is None)
+    assert null[0] < 0.5 < null[1]
+    five = sorted(r.p_toxic for r in out if r.doc_id == 5)
+    assert len(five) == 4 and five[0] < 0.5 < five[1] and five[1] == five[2] or five[2] == five[3]
