@@ -177,14 +177,14 @@ class Mixture(NamedTuple):
 
 
 #: Lengths of the plain and of the scaled steps that are tried in each round.
-PLAIN, SCALED = (1.0, 8.0, 64.0), (1.0, 0.5, 0.2, 0.05)
+PLAIN, SCALED = (1.0, 8.0, 64.0), (1.0, 0.5, 0.25, 0.1, 0.05, 0.02, 0.01, 0.003)
 #: Distance from the targets, as a share of the mixture, that counts as none.
-CLOSE = 1e-4
+CLOSE = 2e-4
 #: Rounds between two stored tables of rates.
 STORE_EVERY = 4
 
 
-def solve(table: DataFrame, weights: list[float], total: float | None, anchor: int | None, max_rate: float, folder: str, most_steps: int = 60, tolerance: float = 1e-3) -> Mixture:
+def solve(table: DataFrame, weights: list[float], total: float | None, anchor: int | None, max_rate: float, folder: str, most_steps: int = 60, tolerance: float = 1e-2) -> Mixture:
     """Projected gradient on rates over ``table`` (tokens, p0..pk, more columns pass): adds the column ``rate``."""
     n = range(len(weights))
     t, rate = F.col("tokens").cast("double"), F.col("rate")
