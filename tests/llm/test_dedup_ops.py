@@ -81,11 +81,41 @@ def test_a_repeated_row_is_no_further_holder_of_a_line(spark, batches):
 
 
 def test_index_levels(spark):
-    df = spark.createDataFrame([(i, f"line number {i % 7:030d}", None, None, None) for i in range(70)], DOCS)
-    index = line_dedup.build_index(df, work_dir(spark, "idx"), 5, 20)
+    df = spark.createDataFrame([(i, f"line number {i % 7:030d}\nline {i} is in one document only", None, None, None) for i in range(70)], DOCS)
+    lines = line_dedup.keyed_lines(df, 20, 5).cache()
+    index = line_dedup.build_index(lines, work_dir(spark, "idx"), 5, fanout=2)
     assert [len(x) for x in index.levels] == [1, 0, 1]  # five batches at fanout 2
-    total = line_dedup.merge(index.table())
-    assert total.count() == 7 and {r.n for r in total.collect()} == {10}
+    runs = [{(r.h1, r.h2) for r in spark.table(t).collect()} for t in index.runs()]
+    assert sum(map(len, runs)) == len(set.union(*runs)) == 77  # the anti-join: no hash in two runs
+    assert {r.n: r["count"] for r in index.counts().groupBy("n").count().collect()} == {10: 7, 1: 70}
+    index.close()
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
+
+
+def test_the_anti_join_decides_the_result(spark, monkeypatch):
+    """With what it lets through taken for new, a line has entries of their own counts and stays."""
+    line = "a line that three documents hold"
+    rows = [(i, line, None, None, None) for i in range(1, 13)]
+    docs = spark.createDataFrame(rows, DOCS)
+    assert sorted(r.text for r in line_dedup.drop_lines(docs, batches=12).collect()) == [""] * 11 + [line]
+    whole = line_dedup.LineIndex.add
+    monkeypatch.setattr(line_dedup.LineIndex, "add", lambda self, batch: self._place(self._write(batch), 0))
+    assert sorted(r.text for r in line_dedup.drop_lines(docs, batches=12).collect()) != [""] * 11 + [line]
+    monkeypatch.setattr(line_dedup.LineIndex, "add", whole)
+
+
+def test_runs_are_joined_and_compacted_without_a_shuffle(spark):
+    index = line_dedup.LineIndex(spark, work_dir(spark, "idx"), fanout=9, buckets=4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for k in range(2):
+            index.add(spark.range(50).selectExpr("id h1", f"id + {k} h2", "1L n", "id top"))
+        a, b = index.runs()
+        joined = spark.table(a).join(spark.table(b).select("h1", "h2"), ["h1", "h2"], "left_anti")
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        index.close()
 
 
 def brute_sets(text):
