@@ -1,19 +1,23 @@
 """Quality rules with cross-document line frequency.
 
 Every line is normalised (white space stripped at both ends, A-Z lower-cased)
-and hashed. A line that more documents of one host hold than the limit allows
-is boilerplate there and goes from all of them except the one with the
-smallest doc_id. The limit is max(``min_docs``, ``max_share`` * documents of
-the host). A document that loses ``max_lost`` or more of its words is
-rejected as depleted, as is one that fails a base rule.
-
-Only line hashes and word counts are shuffled, never texts. Counting is a
-partial aggregation, so a line or host that holds a third of the rows is summed
-before the shuffle; the join that brings counts back can be split (AQE).
+and hashed. A line that more distinct documents of one host hold than the limit
+allows is boilerplate there and goes from all of them except the one with the
+smallest doc_id, so that one copy of a widely copied text survives. The limits
+are absolute, whatever the size of the host: ``short_docs`` documents for lines
+of fewer than ``long_words`` words (menus, greetings), ``long_docs`` for longer
+ones, which nobody writes twice. A document that loses ``max_lost`` or more of
+its words is rejected as depleted, as is one that fails a base rule.
+
+Texts are read once; line hashes with their word counts are stored and shuffled,
+never texts. Counting is a partial aggregation, so a line or host that holds a
+third of the rows is summed before the shuffle; the join that brings counts back
+can be split (AQE). Lines are told apart by a 64-bit hash and their word count.
 
 Edge cases: a null or blank text has no words and fails; a null host is a host
-of its own; lines without a word are ignored; rows that repeat a doc_id count as
-one document and their words add up. Extra columns are ignored.
+of its own; lines without a word are ignored. Every row is assessed by its own
+whole text; rows that repeat a doc_id count as one holder of a line. A null
+doc_id holds no line and loses none. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored, work_dir
+
 SPACES = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
 EDGE = " \t\n\x0b\x0c\r"
@@ -62,66 +68,66 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
     return len(words), len(text) - blanks, symbols, len(lines) - len(set(lines)), repeated_words(ids)
 
 
-def base_rules(docs: DataFrame) -> DataFrame:
-    """doc_id and the base counts of every row."""
+_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = np.array([base_counts(x.as_py()) for x in batch.column("text")], dtype=np.int64).reshape(-1, 5)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(got[:, i]) for i in range(5))], ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint")
+def line_words(text: str | None) -> dict[bytes, tuple[int, int]]:
+    """By normalised line with a word: its words, over all its places in the text and in one place."""
+    own: dict[bytes, tuple[int, int]] = {}
+    for line in (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split(b"\n"):
+        n = len(line.split())
+        if n:
+            line = line.strip()
+            own[line] = (own[line][0] + n if line in own else n, n)
+    return own
 
 
-def line_table(docs: DataFrame, host: str = "source") -> DataFrame:
-    """One row per document and distinct normalised line: doc_id, host, hash, words over all its places in the text."""
+def facts(docs: DataFrame, host: str = "source") -> DataFrame:
+    """doc_id, row (hash of the text), host, base counts, lines (hash, words, each) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        table = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-        for batch in batches:
-            docs_, hosts = batch.column("doc_id"), batch.column("host")
-            row, hashes, words = [], [], []
-            for i, x in enumerate(batch.column("text")):
-                text = x.as_py()
-                if not text:
-                    continue
-                own: dict[bytes, int] = {}
-                for line in text.encode("utf-8", "surrogatepass").translate(table).split(b"\n"):
-                    n = len(line.split())
-                    if n:
-                        line = line.strip()
-                        own[line] = own.get(line, 0) + n
-                row.extend([i] * len(own))
-                hashes.extend(xxhash.xxh3_64_intdigest(k) for k in own)
-                words.extend(own.values())
-            at = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([docs_.take(at), hosts.take(at), pa.array(np.array(hashes, dtype=np.uint64).view(np.int64)), pa.array(words, pa.int64())], ["doc_id", "host", "line", "words"])
+        for whole in batches:
+            for at in range(0, max(1, whole.num_rows), 2000):
+                batch = whole.slice(at, 2000)
+                counts, hashes, words, each, ends = [], [], [], [], [0]
+                for x in batch.column("text"):
+                    text = x.as_py()
+                    counts.append(base_counts(text))
+                    for line, (n, one) in line_words(text).items():
+                        hashes.append(xxhash.xxh3_64_intdigest(line))
+                        words.append(n)
+                        each.append(one)
+                    ends.append(len(hashes))
+                got = np.array(counts, dtype=np.int64).reshape(-1, 5)
+                lines = pa.StructArray.from_arrays([pa.array(hashes, pa.uint64()).view(pa.int64()), pa.array(words, pa.int64()), pa.array(each, pa.int64())], ["line", "words", "each"])
+                columns = [*(batch.column(c) for c in ("doc_id", "row", "host")), *(pa.array(got[:, i]) for i in range(5)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), lines)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "host", *COUNTS, "lines"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", F.col(host).cast("string").alias("host")).mapInArrow(run, f"doc_id {kind}, host string, line bigint, words bigint")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("row"), F.col(host).cast("string").alias("host"), "text")
+    return rows.mapInArrow(run, f"doc_id {kind}, row bigint, host string, {', '.join(f'{c} bigint' for c in COUNTS)}, lines array<struct<line:bigint,words:bigint,each:bigint>>")
 
 
-def assess(docs: DataFrame, host: str = "source", min_docs: int = 20, max_share: float = 0.02, max_lost: float = 0.7, min_words: int = 50) -> DataFrame:
-    """One row per document: base counts, base_failed, lost_words, kept."""
-    base = base_rules(docs).groupBy("doc_id").agg(*(F.sum(c).alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")))
-    lines = line_table(docs, host)
-    sizes = docs.groupBy(F.col(host).cast("string").alias("__host")).agg(F.count("*").alias("__docs"))
+def assess(docs: DataFrame, host: str = "source", short_docs: int = 10, long_docs: int = 2, long_words: int = 10, max_lost: float = 0.7, min_words: int = 50) -> DataFrame:
+    """One result per row: doc_id, base counts, base_failed, lost_words, kept."""
+    every = stored(facts(docs, host), work_dir(docs.sparkSession, "rules") + "/facts")
+    lines = every.where(F.col("doc_id").isNotNull()).select("doc_id", "row", "host", F.explode("lines").alias("x")).select("doc_id", "row", "host", "x.*")
     # Rows that repeat a doc_id are one holder of a line.
-    per_line = lines.select("doc_id", "host", "line").distinct().groupBy("host", "line").agg(F.count("*").alias("__n"), F.min("doc_id").alias("__first")).where(F.col("__n") > min_docs)
-    over = per_line.join(sizes, F.col("host").eqNullSafe(F.col("__host"))).where(F.col("__n") > F.greatest(F.lit(float(min_docs)), F.lit(max_share) * F.col("__docs"))).select(F.col("host").alias("__h"), F.col("line").alias("__l"), "__first")
-    lost = (
-        lines.join(over, (F.col("line") == F.col("__l")) & F.col("host").eqNullSafe(F.col("__h")) & (F.col("doc_id") != F.col("__first")))
-        .groupBy(F.col("doc_id").alias("__doc"))
-        .agg(F.sum("words").alias("__lost"))
-    )
+    holders = lines.select("doc_id", "host", "line", "each").distinct().groupBy("host", "line", "each").agg(F.count("*").alias("__n"), F.min("doc_id").alias("__first"))
+    over = holders.where(F.col("__n") > F.when(F.col("each") >= long_words, long_docs).otherwise(short_docs))
+    over = over.select(F.col("host").alias("__h"), F.col("line").alias("__l"), F.col("each").alias("__e"), "__first")
+    cut = lines.join(over, (F.col("line") == F.col("__l")) & (F.col("each") == F.col("__e")) & F.col("host").eqNullSafe(F.col("__h")) & (F.col("doc_id") != F.col("__first")))
+    # Equal rows have equal lines; they count once for each of these rows.
+    lost = cut.groupBy("doc_id", "row", "host", "line", "each").agg(F.max("words").alias("words")).groupBy(F.col("doc_id").alias("__doc"), F.col("row").alias("__row"), F.col("host").alias("__h")).agg(F.sum("words").alias("__lost"))
     failed = (F.col("n_words") < min_words) | (F.lit(100) * F.col("n_repeat_words") > F.lit(50) * F.col("n_words"))
     return (
-        base.join(lost, F.col("doc_id") == F.col("__doc"), "left")
+        every.drop("lines")
+        .join(lost, (F.col("doc_id") == F.col("__doc")) & (F.col("row") == F.col("__row")) & F.col("host").eqNullSafe(F.col("__h")), "left")
         .withColumn("lost_words", F.coalesce("__lost", F.lit(0).cast("long")))
         .withColumn("base_failed", failed)
         .withColumn("kept", ~F.col("base_failed") & (F.col("lost_words") < F.lit(max_lost) * F.col("n_words")))
-        .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lost_words", "kept")
+        .select("doc_id", *COUNTS, "base_failed", "lost_words", "kept")
     )

@@ -10,9 +10,8 @@ lw AS (SELECT doc_id, source, unnest(ls) AS l FROM w),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM lw WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id),
 k AS (SELECT doc_id, source, translate(regexp_replace(l, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k,
              len(list_filter(string_split_regex(l, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n FROM lw),
-dk AS (SELECT doc_id, source, k, sum(n) AS n FROM k WHERE k <> '' GROUP BY ALL),
-host AS (SELECT source, count(*) AS docs FROM documents GROUP BY source),
-ov AS (SELECT dk.source, k, min(doc_id) AS f FROM dk JOIN host ON dk.source IS NOT DISTINCT FROM host.source GROUP BY dk.source, k, docs HAVING count(*) > greatest(20.0, 0.02 * docs)),
+dk AS (SELECT doc_id, source, k, sum(n) AS n, max(n) AS each FROM k WHERE k <> '' AND doc_id IS NOT NULL GROUP BY doc_id, source, k),
+ov AS (SELECT source, k, min(doc_id) AS f FROM dk GROUP BY source, k, each HAVING count(DISTINCT doc_id) > CASE WHEN each >= 10 THEN 2 ELSE 10 END),
 lost AS (SELECT dk.doc_id, sum(n) AS n FROM dk JOIN ov ON dk.source IS NOT DISTINCT FROM ov.source AND dk.k = ov.k AND dk.doc_id <> ov.f GROUP BY dk.doc_id),
 b AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
         CAST(length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
