@@ -1,18 +1,21 @@
 """Embedding near-dedup with a pivot-permutation index.
 
 A vector is described by its ``prefix`` nearest reference points (pivots) in
-order. Inverted lists by (label, pivot) retrieve candidates; a pair that shares
-``min_shared`` pivots or more is verified by cosine in double precision. A pair
-is handled in the list of its smallest shared pivot only, so it counts once.
-
-A list is cut into blocks of about ``block`` rows and every pair of blocks is one
-small dense product, so a list of any length is worked off in bounded memory.
+order. Inverted lists by (label, pivot) give, for every pair of a list, how many
+pivots the two share; pairs that share ``min_shared`` or more are candidates, and
+only candidates are then verified, by cosine in double precision. A pair is
+handled in the list of its smallest shared pivot only, so it is verified once.
+A verified link is never given up.
+
+A list is cut into blocks of about ``block`` rows and every pair of blocks is
+counted and verified by itself, so a list of any length is worked off in bounded memory.
 Blocks return link counts and a spanning forest of their links, never pairs, so
 a group of near copies costs no more rows than it has members.
 
-Pivots are a bounded sample: one per ``rows_per_pivot`` vectors, between
-``least_pivots`` and ``most_pivots``, taken by a hash of vec_id. All vectors are
-indexed.
+Pivots are a bounded sample, taken by a hash of vec_id: one per ``rows_per_pivot``
+vectors up to 4,096 pivots, beyond that 4 times the square root of the number of
+vectors (finding the nearest pivots and comparing the lists then grow alike), and
+at most ``pivot_bytes`` of them. All vectors are indexed.
 
 Edge cases: a null, empty or zero vector, or one with null or non-finite
 components, and a vector with a null label, links with nothing (0 links, its
@@ -36,22 +39,28 @@ from .components import connected_components
 
 def sample_pivots(vectors: DataFrame, count: int, closest: float = 0.8) -> dict[int, np.ndarray]:
     """Unit pivots by vector length, no two with a cosine of ``closest`` or more; ``vectors``: rep, embedding."""
-    rows = vectors.orderBy(F.xxhash64("rep"), "rep").select("embedding").limit(count).collect()  # bounded by most_pivots
-    by: dict[int, list] = {}
-    for r in rows:
-        by.setdefault(len(r.embedding), []).append(r.embedding)
+    rows = vectors.orderBy(F.xxhash64("rep"), "rep").limit(count).select("embedding").toArrow()  # bounded by pivot_count
+    flat, offsets = _matrix(rows.column("embedding"))
+    sizes = np.diff(offsets)
     out = {}
-    for d, v in by.items():
-        m = np.array(v, dtype=np.float64)
+    for d in np.unique(sizes).tolist():
+        m = flat[offsets[:-1][sizes == d][:, None] + np.arange(d)].astype(np.float64)
         unit = (m / np.linalg.norm(m, axis=1, keepdims=True)).astype(np.float32)
-        kept = np.zeros((0, d), dtype=np.float32)
+        kept = 0
         for x in unit:  # a large group of near copies must not fill the pivots
-            if not len(kept) or (kept @ x).max() < closest:
-                kept = np.concatenate([kept, x[None, :]])
-        out[d] = kept
+            if not kept or (unit[:kept] @ x).max() < closest:
+                unit[kept] = x
+                kept += 1
+        out[d] = unit[:kept]
     return out
 
 
+def pivot_count(n: int, width: int, rows_per_pivot: int, least: int, pivot_bytes: int) -> int:
+    """Pivots for ``n`` vectors of ``width`` numbers."""
+    many = max(least, min(n // rows_per_pivot, max(4096, int(4 * n**0.5))))
+    return max(1, min(many, pivot_bytes // (4 * max(width, 1))))
+
+
 def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Flat values and offsets of a list column."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -83,7 +92,25 @@ def signatures(vectors: DataFrame, pivots: dict[int, np.ndarray], prefix: int) -
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rep", "label", "copies", "embedding")), pa.array(sigs, pa.list_(pa.int32()))], ["rep", "label", "copies", "embedding", "sig"])
 
     s = vectors.schema
-    return vectors.select("rep", "label", "copies", "embedding").mapInArrow(run, f"rep {s['rep'].dataType.simpleString()}, label {s['label'].dataType.simpleString()}, copies bigint, embedding array<float>, sig array<int>")
+    return vectors.select("rep", "label", "copies", "embedding").mapInArrow(run, f"rep {s['rep'].dataType.simpleString()}, label {s['label'].dataType.simpleString()}, copies bigint, embedding {s['embedding'].dataType.simpleString()}, sig array<int>")
+
+
+def shared_pivots(sigs: list[list[int]], pivot: int) -> tuple[np.ndarray, np.ndarray]:
+    """By pair of rows: the number of pivots shared, and whether one of them is smaller than ``pivot``."""
+    n = len(sigs)
+    counts, before = np.zeros((n, n), dtype=np.uint8), np.zeros((n, n), dtype=bool)
+    names = np.concatenate([np.asarray(x, dtype=np.int64) for x in sigs])
+    rows = np.repeat(np.arange(n), [len(x) for x in sigs])
+    order = np.argsort(names, kind="stable")
+    names, rows = names[order], rows[order]
+    cuts = np.flatnonzero(np.diff(names)) + 1
+    for group, name in zip(np.split(rows, cuts), names[np.concatenate([[0], cuts])], strict=True):
+        if len(group) > 1:
+            at = np.ix_(group, group)
+            counts[at] += 1
+            if name < pivot:
+                before[at] = True
+    return counts, before
 
 
 def block_links(x: np.ndarray, copies: np.ndarray, sigs: list[list[int]], side: np.ndarray, pivot: int, threshold: float, min_shared: int) -> tuple[np.ndarray, np.ndarray]:
@@ -92,34 +119,30 @@ def block_links(x: np.ndarray, copies: np.ndarray, sigs: list[list[int]], side:
     side: 0 and 1 for rows of two different blocks, all 2 within one block.
     """
     n = len(x)
-    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-    link = unit @ unit.T >= threshold
-    np.fill_diagonal(link, False)
+    shared, before = shared_pivots(sigs, pivot)
+    need = np.minimum(min_shared, np.array([len(s) for s in sigs]))
+    wanted = np.triu((shared >= np.minimum(need[:, None], need[None, :])) & ~before, 1)
     if (side != 2).all():
-        link &= side[:, None] != side[None, :]
-    rows = np.flatnonzero(link.any(axis=1))
+        wanted &= side[:, None] != side[None, :]
+    a, b = np.nonzero(wanted)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     counts, root = np.zeros(n, dtype=np.int64), np.arange(n)
-    if not len(rows):
-        return counts, root
-    # Shared pivots, of the rows that may be linked at all.
-    names = sorted({p for r in rows for p in sigs[r]})
-    at = {p: i for i, p in enumerate(names)}
-    one = np.zeros((len(rows), len(names)), dtype=np.float32)
-    for i, r in enumerate(rows):
-        one[i, [at[p] for p in sigs[r]]] = 1
-    need = np.minimum(min_shared, np.array([len(sigs[r]) for r in rows]))
-    shared = one @ one.T >= np.minimum(need[:, None], need[None, :])
-    before = one[:, : at[pivot]]
-    own = link[np.ix_(rows, rows)] & shared & ~(before @ before.T > 0)
-    counts[rows] = own.astype(np.int64) @ copies[rows]
-    comp = np.arange(len(rows))
-    while True:
-        new = np.minimum(comp, np.where(own, comp[None, :], len(rows)).min(axis=1))
-        new = np.minimum(new, new[new])
-        if (new == comp).all():
+    if len(a) > n * n // 8:  # most pairs are candidates: one product is cheaper
+        close = (unit @ unit.T)[a, b] >= threshold
+    else:
+        close = np.concatenate([np.zeros(0, dtype=bool), *(np.einsum("ij,ij->i", unit[a[i : i + 65_536]], unit[b[i : i + 65_536]]) >= threshold for i in range(0, len(a), 65_536))])
+    a, b = a[close], b[close]
+    np.add.at(counts, a, copies[b])
+    np.add.at(counts, b, copies[a])
+    while len(a):
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == root).all():
             break
-        comp = new
-    root[rows] = rows[comp]
+        root = new
     return counts, root
 
 
@@ -165,8 +188,8 @@ def linked(signed: DataFrame, threshold: float, min_shared: int, block: int) ->
     return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, f"rep {kind}, other {kind}, links bigint")
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.93, prefix: int = 8, min_shared: int = 2, block: int = 1024, rows_per_pivot: int = 32, least_pivots: int = 32, most_pivots: int = 4096) -> DataFrame:
-    """vec_id, n_links, component_id, kept of every row; ``vectors``: vec_id, embedding array<float>, label."""
+def near_duplicates(vectors: DataFrame, threshold: float = 0.93, prefix: int = 8, min_shared: int = 2, block: int = 1024, rows_per_pivot: int = 32, least_pivots: int = 32, pivot_bytes: int = 64 << 20) -> DataFrame:
+    """vec_id, n_links, component_id, kept of every row; ``vectors``: vec_id, embedding (an array of float or double), label."""
     spark = vectors.sparkSession
     folder = work_dir(spark, "pivots")
     e = F.col("embedding")
@@ -175,8 +198,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, prefix: int = 8
     fit = F.coalesce(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & finite & nonzero, F.lit(False))
     rows = vectors.select("vec_id", "label", e, F.xxhash64(e).alias("k1"), F.xxhash64(F.lit("second"), e).alias("k2"), fit.alias("fit"))
     reps = stored(rows.where("fit").groupBy("label", "k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.any_value("embedding").alias("embedding")), f"{folder}/reps")
-    n = reps.count()
-    pivots = sample_pivots(reps, max(least_pivots, min(most_pivots, n // rows_per_pivot)))
+    size = reps.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("width")).first()
+    pivots = sample_pivots(reps, pivot_count(size.n, size.width or 0, rows_per_pivot, least_pivots, pivot_bytes))
     links = stored(linked(signatures(reps, pivots, prefix), threshold, min_shared, block), f"{folder}/links")
     comps = connected_components(links.select(F.col("rep").alias("a"), F.col("other").alias("b")), folder=f"{folder}/comps")
     counts = links.groupBy("rep").agg(F.sum("links").alias("links"))
