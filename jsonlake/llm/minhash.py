@@ -17,14 +17,21 @@ lost. Every link is confirmed on the full shingle sets, made again from the
 whole texts.
 
 With perms=48 and 24 bands of 4 values a pair of large sets of similarity 0.75
-shares a bucket with probability 0.9999; small sets, whose minimum and maximum
-depend on each other, with less (3 of 4 shingles: 0.999, 6 of 8: 0.9997).
+shares a bucket with probability 0.9999. In small sets minimum and maximum depend
+on each other, so sets of few shingles have exact buckets as well: any two sets of
+similarity 0.75 share one of their first n - ceil(0.75 n) + 1 shingles in hash
+order, and each of these is a bucket for sets of up to ``SMALL`` / 0.75 shingles.
+No pair with a set of at most ``SMALL`` shingles is lost.
+
+Counts by bucket are stored before they are joined back, so the join of a bucket
+that very many documents hold can be split (AQE). Blocks are bounded by documents
+and by their shingles.
 
 Edge cases: null or blank texts have an empty set, link with nothing and are
-kept; case differs only in A-Z; null doc_id rows are ignored for links and get
-no component; repeated rows of one doc_id must have one text (else their sets
-are compared as if they were documents with equal ids). Other columns are
-ignored by ``near_duplicates`` and kept by ``keep_one``.
+kept; case differs only in A-Z; null doc_id rows are ignored for links, have no
+component and are kept. Rows that repeat a doc_id are one node; if their texts
+differ, the smallest text is the one that candidates are confirmed on. Other
+columns are ignored by ``near_duplicates`` and kept by ``keep_one``.
 """
 
 from __future__ import annotations
@@ -43,6 +50,10 @@ from .components import merge_components, roots_of
 SHINGLE = 5
 PERMS, BANDS, ROWS = 48, 24, 4
 BLOCK = 1024
+#: Sets of so many shingles have exact buckets.
+SMALL = 16
+#: Shingles of a block of documents.
+BLOCK_SHINGLES = 2_000_000
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _VALUE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _VALUE[65:91] = _VALUE[97:123]  # A-Z count as a-z
@@ -115,8 +126,16 @@ def bands(sig: np.ndarray) -> np.ndarray:
         return _mix((_mix(v) * _BAND).sum(axis=1) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, f1, f2 (128-bit fingerprint of the set; null: empty set), bands."""
+def prefix(s: np.ndarray, share: int) -> np.ndarray:
+    """The shingles of a small set of which it shares one with any set that is similar enough; none for a large set."""
+    n = len(s)
+    if not n or n * share > SMALL * 100:
+        return np.zeros(0, dtype=np.int64)
+    return s[: n - -(-share * n // 100) + 1].view(np.int64)
+
+
+def sketches(docs: DataFrame, share: int = 75) -> DataFrame:
+    """doc_id, n_shingles, f1, f2 (128-bit fingerprint of the set; null: empty set), bands (and then the prefix of a small set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -130,11 +149,11 @@ def sketches(docs: DataFrame) -> DataFrame:
                         d = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), dtype=np.int64)
                         f1.append(int(d[0]))
                         f2.append(int(d[1]))
-                        keys.append(bands(signature(s)))
+                        keys.append(np.concatenate([bands(signature(s)), prefix(s, share)]))
                     else:
                         f1.append(None)
                         f2.append(None)
-                    ends.append(ends[-1] + (BANDS if len(s) else 0))
+                    ends.append(ends[-1] + (len(keys[-1]) if len(s) else 0))
                 flat = np.concatenate(keys) if keys else np.zeros(0, dtype=np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), lists], ["doc_id", "n_shingles", "f1", "f2", "bands"])
@@ -227,10 +246,11 @@ def block_roots(sets: list[np.ndarray], comps: np.ndarray, side: np.ndarray, sha
     return rows[moved], rows[root[moved]]
 
 
-def remaining_links(buckets: DataFrame, comps: DataFrame, texts: DataFrame, share: int, block: int) -> DataFrame:
+def remaining_links(buckets: DataFrame, comps: DataFrame, texts: DataFrame, share: int, block: int, folder: str) -> DataFrame:
     """Links (a, b) between components that share a bucket; every pair across components is compared."""
-    placed = with_component(buckets, comps)
-    sizes = placed.groupBy("band", "key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    placed = with_component(buckets, comps, f"{folder}/third")
+    least = F.greatest(F.count("*") / block, F.sum("n_shingles") / BLOCK_SHINGLES)
+    sizes = stored(placed.groupBy("band", "key").agg(F.ceil(least).cast("int").alias("blocks")), f"{folder}/sizes")
     dealt = placed.join(sizes, ["band", "key"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "comp")
@@ -274,54 +294,56 @@ def near_duplicates(docs: DataFrame, share: int = 75, block: int = BLOCK) -> Dat
     """doc_id, n_shingles, component_id, kept of every row."""
     spark = docs.sparkSession
     folder = work_dir(spark, "minhash")
-    sketch = stored(sketches(docs), f"{folder}/sketch")
+    sketch = stored(sketches(docs, share), f"{folder}/sketch")
     whole = sketch.where(F.col("f1").isNotNull() & F.col("doc_id").isNotNull())
     # Equal sets: the smallest id stands for all. Bands of equal sets are equal, so any will do.
-    same = stored(whole.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands")), f"{folder}/same")
-    entries = same.select("rep", F.posexplode("bands").alias("band", "key"))
-    full = entries.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").select("band", "key")
-    buckets = stored(entries.join(full, ["band", "key"]), f"{folder}/buckets")
+    same = stored(whole.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("bands").alias("bands")), f"{folder}/same")
+    entries = same.select("rep", "n_shingles", F.posexplode("bands").alias("band", "key")).withColumn("band", F.least("band", F.lit(BANDS)))
+    low = stored(entries.groupBy("band", "key").agg(F.min("rep").alias("c"), F.max("rep").alias("last")).where("c != last").select("band", "key", "c"), f"{folder}/low")
+    buckets = stored(entries.join(low, ["band", "key"]), f"{folder}/buckets")
     wanted = buckets.select(F.col("rep").alias("__need")).distinct()
-    # The same id twice: one of the rows stands for it.
-    texts = stored(docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("__need"), "left_semi").dropDuplicates(["doc_id"]), f"{folder}/texts")
+    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("__need"), "left_semi")
+    texts = stored(texts.groupBy("doc_id").agg(F.min("text").alias("text")), f"{folder}/texts")
     # First star: the smallest id among all bucket mates is the only parent of a document, so links form a forest.
-    low = buckets.groupBy("band", "key").agg(F.min("rep").alias("c"))
-    pairs = buckets.join(low, ["band", "key"]).where("rep != c").groupBy(F.col("rep").alias("b")).agg(F.min("c").alias("a"))
+    pairs = buckets.where("rep != c").groupBy(F.col("rep").alias("b")).agg(F.min("c").alias("a"))
     first = stored(confirmed(stored(pairs.select("a", "b"), f"{folder}/pairs0"), texts, share), f"{folder}/links0")
     comps = roots_of(first.select(F.col("b").alias("node"), F.col("a").alias("parent")), f"{folder}/comps0")
     # Second star: the largest id of the buckets that still hold several components.
-    placed = with_component(buckets, comps)
+    placed = with_component(buckets, comps, f"{folder}/second")
     high = placed.groupBy("band", "key").agg(F.max(F.struct("rep", "comp")).alias("m")).select("band", "key", F.col("m.rep").alias("c"), F.col("m.comp").alias("ccomp"))
+    high = stored(high, f"{folder}/high")
     pairs = placed.join(high, ["band", "key"]).where("comp != ccomp").groupBy(F.col("rep").alias("b")).agg(F.max("c").alias("a"))
     second = stored(confirmed(stored(pairs.select("a", "b"), f"{folder}/pairs1"), texts, share), f"{folder}/links1")
     comps = merge_components(comps, second, f"{folder}/comps1")
-    third = stored(remaining_links(buckets, comps, texts, share, block), f"{folder}/links2")
+    third = stored(remaining_links(buckets, comps, texts, share, block, folder), f"{folder}/links2")
     if not third.isEmpty():
         comps = merge_components(comps, third, f"{folder}/comps2")
-    for name in ("buckets", "texts"):
+    for name in ("buckets", "texts", "second", "third", "low", "high", "sizes", "pairs0", "pairs1"):
         remove_dir(spark, f"{folder}/{name}")
     of_set = same.select(F.col("f1").alias("__1"), F.col("f2").alias("__2"), "rep").join(comps.select(F.col("node").alias("rep"), "comp"), "rep", "left").select("__1", "__2", F.coalesce("comp", "rep").alias("comp"))
     out = sketch.join(of_set, (F.col("f1") == F.col("__1")) & (F.col("f2") == F.col("__2")), "left")
-    comp = F.coalesce("comp", "doc_id")
-    return out.select("doc_id", "n_shingles", comp.alias("component_id"), (comp == F.col("doc_id")).alias("kept"))
+    comp = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
+    return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(comp == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def with_component(buckets: DataFrame, comps: DataFrame) -> DataFrame:
+def with_component(buckets: DataFrame, comps: DataFrame, folder: str) -> DataFrame:
     """Members of buckets that hold more than one component, each with its component."""
-    placed = buckets.join(comps.select(F.col("node").alias("rep"), "comp"), "rep", "left").select("rep", "band", "key", F.coalesce("comp", "rep").alias("comp"))
+    placed = buckets.join(comps.select(F.col("node").alias("rep"), "comp"), "rep", "left").select("rep", "n_shingles", "band", "key", F.coalesce("comp", "rep").alias("comp"))
+    placed = stored(placed, f"{folder}/placed")
     mixed = placed.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("band", "key")
-    return placed.join(mixed, ["band", "key"])
+    return placed.join(stored(mixed, f"{folder}/mixed"), ["band", "key"])
 
 
 def keep_one(docs: DataFrame, share: int = 75) -> DataFrame:
     """The rows of ``docs`` whose document is kept, all columns as they were.
 
-    Rows with a null doc_id all stay; of rows that repeat a kept doc_id one stays.
+    Rows with a null doc_id all stay; of rows that repeat a kept doc_id the one with the smallest hash of its text stays.
     """
-    kept = near_duplicates(docs, share).where("kept").groupBy(F.col("doc_id").alias("__keep")).agg(F.count("*").alias("__rows"))
+    kept = near_duplicates(docs, share).where("kept AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__keep")).agg(F.count("*").alias("__rows"))
     kept = stored(kept, work_dir(docs.sparkSession, "minhash-kept"))
     same = F.col("doc_id") == F.col("__keep")
     once = docs.join(kept.where("__rows = 1"), same, "left_semi")
     # Only repeated ids are sorted out by id, so whole texts are not shuffled for the others.
-    again = docs.join(kept.where("__rows > 1"), same, "left_semi").dropDuplicates(["doc_id"])
+    again = docs.join(kept.where("__rows > 1"), same, "left_semi")
+    again = again.groupBy(F.col("doc_id").alias("__id")).agg(F.min_by(F.struct(*docs.columns), F.xxhash64("text")).alias("__row")).select("__row.*")
     return once.unionByName(again).unionByName(docs.where(F.col("doc_id").isNull()))

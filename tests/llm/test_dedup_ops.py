@@ -173,8 +173,22 @@ def test_null_and_repeated_ids_through_the_pipeline_stages(spark):
 
 def test_minhash_empty(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
-    lone = minhash.near_duplicates(spark.createDataFrame([(None, "a b", None, None, None), (3, None, None, None, None)], DOCS)).collect()
-    assert len(lone) == 2
+    lone = minhash.near_duplicates(spark.createDataFrame([(None, "a b", None, None, None), (3, None, None, None, None), (4, "a b", None, None, None)], DOCS)).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in lone) == [(0, 0, True), (3, 3, True), (4, 4, True)]
+
+
+def test_no_pair_of_small_sets_is_lost(spark):
+    """Pairs of 4 to 16 shingles at the threshold: min-max bands alone lose some of them."""
+    rows = []
+    for k in range(3000):
+        n = 4 + k % 13
+        words = [f"{k}w{j}" for j in range(n + 4)]
+        cut = words[1:] if n == 4 else words[: -(n // 7) or None]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(cut))]
+    sets = {i: brute_sets(t) for i, t in rows}
+    want = {2 * k for k in range(3000) if 100 * len(sets[2 * k] & sets[2 * k + 1]) >= 75 * len(sets[2 * k] | sets[2 * k + 1])}
+    got = {r.component_id for r in minhash.near_duplicates(spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCS)).where("NOT kept").collect()}
+    assert got == want and len(want) > 2000
 
 
 def test_shared_counts_in_slices():
