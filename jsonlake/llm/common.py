@@ -39,6 +39,23 @@ def remove_dir(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def remove_matching(spark: SparkSession, pattern: str) -> None:
+    """Delete the files that a path with wildcards matches."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(pattern)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for found in fs.globStatus(where) or []:
+        fs.delete(found.getPath(), True)
+
+
+def free(names: list[str], wanted: str) -> str:
+    """``wanted``, or the same with a tail where a column has that name."""
+    taken = {n.lower() for n in names}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 def ascii_lower(col: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(col, ASCII_UPPER, ASCII_LOWER)

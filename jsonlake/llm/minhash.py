@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remove_dir, stored, work_dir
+from .common import free, remove_dir, stored, work_dir
 from .components import merge_components, roots_of
 
 SHINGLE = 5
@@ -339,11 +339,12 @@ def keep_one(docs: DataFrame, share: int = 75) -> DataFrame:
 
     Rows with a null doc_id all stay; of rows that repeat a kept doc_id the one with the smallest hash of its text stays.
     """
-    kept = near_duplicates(docs, share).where("kept AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__keep")).agg(F.count("*").alias("__rows"))
+    own, times = free(docs.columns, "__keep"), free(docs.columns, "__rows")
+    kept = near_duplicates(docs, share).where("kept AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias(own)).agg(F.count("*").alias(times))
     kept = stored(kept, work_dir(docs.sparkSession, "minhash-kept"))
-    same = F.col("doc_id") == F.col("__keep")
-    once = docs.join(kept.where("__rows = 1"), same, "left_semi")
+    same = F.col("doc_id") == F.col(own)
+    once = docs.join(kept.where(F.col(times) == 1), same, "left_semi")
     # Only repeated ids are sorted out by id, so whole texts are not shuffled for the others.
-    again = docs.join(kept.where("__rows > 1"), same, "left_semi")
+    again = docs.join(kept.where(F.col(times) > 1), same, "left_semi")
     again = again.groupBy(F.col("doc_id").alias("__id")).agg(F.min_by(F.struct(*docs.columns), F.xxhash64("text")).alias("__row")).select("__row.*")
     return once.unionByName(again).unionByName(docs.where(F.col("doc_id").isNull()))

@@ -52,7 +52,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import remove_dir, stored, work_dir
+from .common import free, remove_dir, stored, work_dir
 
 #: Signs that stand for a word's shape when they end it.
 SHAPES = list("!*#$%&|")
@@ -270,8 +270,9 @@ def resample(docs: DataFrame, plan: DataFrame) -> DataFrame:
     Rows with a null doc_id have no copies of their own to look up: each stays once if ``plan`` has such rows.
     """
     names = docs.columns
-    once = plan.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies"))
-    joined = docs.join(once.where("__copies > 0"), F.col("doc_id") == F.col("__id"))
-    drawn = joined.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*names)
+    own, times, each = (free(names, n) for n in ("__id", "__copies", "__k"))
+    once = plan.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias(own)).agg(F.max("copies").alias(times))
+    joined = docs.join(once.where(F.col(times) > 0), F.col("doc_id") == F.col(own))
+    drawn = joined.withColumn(each, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*names)
     planned = plan.where("doc_id IS NULL").select(F.lit(True).alias("__planned")).limit(1)
     return drawn.unionByName(docs.where("doc_id IS NULL").crossJoin(F.broadcast(planned)).select(*names))

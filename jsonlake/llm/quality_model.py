@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod
+from .common import crc_mod, free
 
 STATS = ["n_words", "mean_word", "symbols", "pipes", "bangs", "digits", "upper", "distinct", "dup_lines", "letters", "mean_line", "top_word"]
 STATS_TYPE = T.StructType([T.StructField(s, T.DoubleType()) for s in STATS])
@@ -197,6 +197,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_row
     rows = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
     chosen = rows.select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("__y")).orderBy(F.xxhash64("__id"), "__id", "__y").limit(sample_rows)
     got = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("doc_id", "__y", text_statistics("text").alias("s")).select("doc_id", "__y", "s.*")
+    # One row per document and label, so that repeated rows of a doc_id stay within the bound as well.
+    got = got.groupBy("doc_id", "__y").agg(F.min(F.struct(*STATS)).alias("s")).select("doc_id", "__y", "s.*")
     data = got.toPandas().sort_values(["doc_id", "__y", *STATS])
     return fit(data[STATS].to_numpy(dtype=float), data["__y"].to_numpy(dtype=float))
 
@@ -214,4 +216,5 @@ def train_held_out(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int
 def keep(docs: DataFrame, model: RuleModel, threshold: float) -> DataFrame:
     """The rows with score >= threshold, all columns as they were."""
     names = docs.columns
-    return docs.withColumn("__s", text_statistics("text")).where(model.column(F.col("__s")) >= threshold).select(*names)
+    stats = free(names, "__s")
+    return docs.withColumn(stats, text_statistics("text")).where(model.column(F.col(stats)) >= threshold).select(*names)
