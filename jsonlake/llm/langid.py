@@ -6,11 +6,14 @@ forward algorithm; the log-likelihood of a text is the sum over its words.
 Words are runs of letters in lower case, written with a leading space mark.
 
 Training is expectation-maximisation on word counts of a bounded, documented
-sample (``sample_docs`` documents by a hash of doc_id, and the ``sample_words``
-most frequent (language, word) pairs of them). Scoring reads every whole text.
+sample: of each language ``sample_docs`` documents by a hash of doc_id, and of
+these the ``sample_words`` most frequent words of each language, so a rare
+language is learned like any other. Words of more than 40 letters are counted
+there in consecutive parts of 40. Scoring reads every whole text and sums all
+segmentations of words of any length.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0.
-Words of more than 40 letters are scored in consecutive parts of 40. Null
+Null
 doc_id and repeated rows are scored like any other row. With no training rows
 every text is ``und``. Ties between languages go to the first in sorted order.
 """
@@ -22,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import crc_mod
@@ -36,6 +39,7 @@ CACHE_WORDS = 700_000
 
 
 def parts_of(word: str) -> str | list[str]:
+    """A word, or its parts of ``MAX_WORD`` letters, as training counts them."""
     return SPACE + word if len(word) <= MAX_WORD else [(SPACE if i == 0 else "") + word[i : i + MAX_WORD] for i in range(0, len(word), MAX_WORD)]
 
 
@@ -56,7 +60,12 @@ class LangModel:
         """log of the sum over all segmentations, by word and language."""
         out = np.zeros((len(words), len(self.langs)))
         unk = len(self.probs) - 1
-        for where, codes in by_length(words):
+        for i, word in enumerate(words):
+            if len(word) > MAX_WORD + 1:
+                out[i] = long_forward(self.table, word, self.probs, unk)
+        short = np.array([i for i, word in enumerate(words) if len(word) <= MAX_WORD + 1], dtype=np.int64)
+        for where, codes in by_length([words[i] for i in short]):
+            where = short[where]
             alpha = forward(self.table, codes, self.probs, unk)[0]
             out[where] = np.log(np.maximum(alpha[:, -1, :], 1e-300))
         return out
@@ -82,10 +91,8 @@ class LangModel:
                     for word in LETTERS.findall(w.decode("utf-8", "surrogatepass")):
                         if any(map(str.isalpha, word)):
                             found[i] += 1
-                            p = parts_of(word)
-                            for x in [p] if isinstance(p, str) else p:
-                                flat.append(x)
-                                owner.append(i)
+                            flat.append(SPACE + word)
+                            owner.append(i)
                 scores = np.zeros((len(new), len(self.langs)))
                 if flat:
                     np.add.at(scores, np.array(owner), self.word_scores(flat))
@@ -121,6 +128,30 @@ def forward(table: PieceTable, codes: np.ndarray, probs: np.ndarray, unk: int):
     return alpha, used
 
 
+def long_forward(table: PieceTable, word: str, probs: np.ndarray, unk: int) -> np.ndarray:
+    """log of the sum over all segmentations of one long word; sums are scaled as they shrink."""
+    starts, ends, ids = table.edges_of(word)
+    n = len(word)
+    alpha = np.zeros((n + 1, probs.shape[1]))
+    alpha[0] = 1.0
+    scale = np.zeros(probs.shape[1])
+    cuts = np.searchsorted(ends, np.arange(1, n + 2))
+    for end in range(1, n + 1):
+        a, b = cuts[end - 1], cuts[end]
+        s = starts[a:b]
+        now = (alpha[s] * probs[ids[a:b]]).sum(axis=0)
+        if not (s == end - 1).any():
+            now = now + alpha[end - 1] * probs[unk]
+        alpha[end] = now
+        low = (now < 1e-100) & (now > 0)
+        if low.any():
+            window = slice(max(0, end - table.longest), end + 1)
+            by = np.where(low, 1e100, 1.0)
+            alpha[window] *= by
+            scale -= np.log(by)
+    return np.log(np.maximum(alpha[n], 1e-300)) + scale
+
+
 def collect(expected: np.ndarray, parts: list[tuple[np.ndarray, np.ndarray]]) -> None:
     """Add weights by piece id and language, all parts of a group at once."""
     if parts:
@@ -173,21 +204,21 @@ def fit(counts: dict[str, dict[str, int]], table: PieceTable, n_pieces: int, rou
     return LangModel(langs, table, probs)
 
 
-def train(docs: DataFrame, model_file: str, sample_docs: int = 3000, sample_words: int = 150_000) -> LangModel:
+def train(docs: DataFrame, model_file: str, sample_docs: int = 1000, sample_words: int = 50_000) -> LangModel:
     """Fit on a bounded sample of rows that have text and lang: ``docs`` needs doc_id, text, lang."""
     rows = docs.select("doc_id", "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    chosen = rows.select(F.col("doc_id").alias("__id")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-    words = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"), "left_semi").select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word"))
-    top = words.where("word != ''").groupBy("lang", "word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang", "word").limit(sample_words)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    chosen = rows.select("doc_id", "lang").withColumn("k", rank).where(F.col("k") <= sample_docs).select(F.col("doc_id").alias("__id")).distinct()
+    words = rows.join(chosen, F.col("doc_id") == F.col("__id"), "left_semi").select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    top = words.where("word != ''").groupBy("lang", "word").agg(F.count("*").alias("n")).withColumn("k", place).where(F.col("k") <= sample_words)
     counts: dict[str, dict[str, int]] = {}
-    for r in top.collect():  # at most sample_words rows
+    for r in top.collect():  # at most sample_words rows a language
         counts.setdefault(r.lang, {})[r.word] = r.n
     pieces, _, plain, _ = read_vocabulary(model_file)
     return fit(counts, PieceTable(pieces, plain), len(pieces))
 
 
-
-
 def predict(docs: DataFrame, model: LangModel) -> DataFrame:
     """doc_id, lang_pred, score and n_words (runs of letters) of every row; score is the posterior at temperature sqrt(words)."""
     spark = docs.sparkSession

@@ -97,6 +97,25 @@ class PieceTable:
                     if hit.any():
                         yield start, end, rows[hit], self.ids[at[hit]]
 
+    def edges_of(self, word: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, ends and piece ids of every piece in one string, ends ascending; all starts of a length at once."""
+        codes = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+        n = len(codes)
+        prefix, h = np.zeros(n + 1, dtype=np.uint64), 0
+        for i, c in enumerate(codes.tolist()):
+            h = (h * int(_BASE) + c + 1) & 0xFFFFFFFFFFFFFFFF
+            prefix[i + 1] = h
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        with np.errstate(over="ignore"):
+            for size in range(1, min(self.longest, n) + 1):
+                key = prefix[size:] - prefix[: n + 1 - size] * self.powers[size]
+                at = np.searchsorted(self.keys, key)
+                hit = np.flatnonzero((at < len(self.keys)) & (self.keys[np.minimum(at, len(self.keys) - 1)] == key))
+                found.append((hit, hit + size, self.ids[at[hit]]))
+        starts, ends, ids = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(ends, kind="stable")
+        return starts[order], ends[order], ids[order]
+
 
 class Numbers(dict):
     """Numbers strings in the order they are first asked for; ``new`` lists those since the last ``settle``.
