@@ -18,7 +18,7 @@ equal results; a null doc_id is kept. Extra columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -79,7 +79,7 @@ def template_table(spark, templates, phrases) -> DataFrame:
     if total > MAX_TEMPLATE_WORDS:
         raise ValueError("the template side is broadcast; it must stay small")
     kind = T.StructType([T.StructField("t0", T.StringType()), T.StructField("t1", T.StringType()), T.StructField("t2", T.StringType()), T.StructField("tpl", T.IntegerType()), T.StructField("tpos", T.IntegerType()), T.StructField("tlen", T.IntegerType()), T.StructField("label", T.StringType()), T.StructField("base", T.BooleanType())])
-    return spark.createDataFrame(rows, kind).withColumn("th", F.xxhash64("t0", "t1"))
+    return spark.createDataFrame(rows, kind).withColumn("th", F.xxhash64(F.lower("t0"), F.lower("t1")))
 
 
 def hits(docs: DataFrame, templates: DataFrame) -> DataFrame:
@@ -98,18 +98,12 @@ def spans(found: DataFrame, gap: int, min_words: int, min_share: float) -> DataF
 
     Diagonals of one document and template at most ``gap`` apart become one span.
     """
-    votes = found.where(~F.col("base")).groupBy("doc_id", "tkey", "tpl", "tlen", "label", "diag").agg(F.collect_set("pos").alias("ps"), F.min("pos").alias("first"), F.max("pos").alias("last"))
-    # A document has few diagonals per template, so one template's diagonals form a small array.
-    one = F.sort_array(F.collect_list(F.struct("diag", "first", "last", "ps"))).alias("ds")
-    arrays = votes.groupBy("doc_id", "tkey", "tpl", "tlen", "label").agg(one)
-    start = F.struct(F.lit(None).cast("int").alias("diag"), F.lit(0).alias("grp"), F.array().cast("array<struct<grp:int,ps:array<int>>>").alias("out"))
-    step = lambda acc, d: F.struct(
-        d["diag"].alias("diag"),
-        F.when(acc["diag"].isNull() | (d["diag"] - acc["diag"] > gap), acc["grp"] + 1).otherwise(acc["grp"]).alias("grp"),
-        F.concat(acc["out"], F.array(F.struct(F.when(acc["diag"].isNull() | (d["diag"] - acc["diag"] > gap), acc["grp"] + 1).otherwise(acc["grp"]).alias("grp"), d["ps"].alias("ps")))).alias("out"),
-    )
-    merged = arrays.select("doc_id", "tkey", "tpl", "tlen", "label", F.explode(F.aggregate("ds", start, step)["out"]).alias("x"))
-    merged = merged.groupBy("doc_id", "tkey", "tpl", "tlen", "label", F.col("x.grp").alias("grp")).agg(F.array_distinct(F.flatten(F.collect_list("x.ps"))).alias("ps"))
+    keys = ["doc_id", "tkey", "tpl", "tlen", "label"]
+    votes = found.where(~F.col("base")).groupBy(*keys, "diag").agg(F.collect_set("pos").alias("ps"))
+    along = Window.partitionBy(*keys).orderBy("diag")
+    apart = F.coalesce(F.col("diag") - F.lag("diag").over(along) > gap, F.lit(True)).cast("int")
+    grouped = votes.withColumn("apart", apart).withColumn("grp", F.sum("apart").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    merged = grouped.groupBy(*keys, "grp").agg(F.array_distinct(F.flatten(F.collect_list("ps"))).alias("ps"))
     covered = F.size(F.array_union("ps", F.transform("ps", lambda p: p + 1)))
     out = merged.select("doc_id", "tkey", "tlen", "label", F.array_min("ps").alias("start"), (F.array_max("ps") + 1).alias("end"), covered.alias("words"))
     out = out.withColumn("share", F.col("words") / (F.col("end") - F.col("start") + 1))
