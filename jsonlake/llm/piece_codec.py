@@ -11,7 +11,7 @@ chunk's loss for the second-best segmentation. The N best segmentations of a
 text can differ from the best only in the N-1 occurrences with the smallest
 losses, so A-star (``lattice.n_best``: forward Viterbi scores as exact
 heuristics of a backward search) runs on those chunks, and a queue over sums of
-their ranks gives the N best of the whole text.
+their ranks gives the N best segmentations of the whole text with their pieces.
 
 Characters outside the vocabulary become byte pieces. Decoding joins the pieces,
 turns byte pieces into bytes and drops the mark in front; decode(encode(text))
@@ -19,9 +19,8 @@ is the text unless it contains the space mark itself.
 
 Edge cases: a null text has null results; an empty text has no pieces, one
 segmentation and score 0; ties between segmentations go to the first found,
-so results do not depend on batches. Very long chunks are cut into pieces of
-work by bounded groups; a chunk of more than ``LONG`` characters goes through
-the same passes alone. Extra columns are kept by ``encode``.
+so results do not depend on batches. Chunks may have any length. Extra columns
+are kept by ``encode``; one that is named like a result is replaced by it.
 """
 
 from __future__ import annotations
@@ -39,7 +38,6 @@ from pyspark.sql import DataFrame
 from .lattice import SPACE, Numbers, PieceTable, best_and_gap, by_length, n_best, read_vocabulary
 
 CACHE_CHUNKS = 500_000
-LONG = 400
 
 
 class Codec:
@@ -65,7 +63,7 @@ class Codec:
         self.cache, self.names = Numbers(), []
         self.score, self.gap, self.size = (np.zeros(0) for _ in range(3))
         self.blobs: list[bytes] = []
-        self.ranked: dict[int, list[float]] = {}
+        self.ranked: dict[int, tuple[list[float], list[bytes]]] = {}
 
     def _trim(self, keep: int) -> None:
         self.cache.trim(keep)
@@ -144,34 +142,61 @@ class Codec:
                 self.names += chunks
             yield from found
 
-    def n_best_scores(self, ids: np.ndarray, n: int) -> list[float]:
-        """Scores of the ``n`` best segmentations of a text, best first."""
+    def _ranked(self, k: int, n: int) -> tuple[list[float], list[bytes]]:
+        """Losses and pieces of the ``n`` best segmentations of chunk ``k``; an infinite loss ends them where there are fewer."""
+        got = self.ranked.get(k)
+        if got is None or len(got[0]) < n and not math.isinf(got[0][-1]):
+            name = self.names[k]
+            found = n_best(name, self.index, self.scores, self.unknown, n, self.table.longest)
+            losses = [found[0][0] - s for s, _ in found]
+            blobs = []
+            for _, path in found:
+                ids: list[int] = []
+                for start, _end, i in path:
+                    ids += [i] if i >= 0 else self._fallback(name[start])
+                blobs.append(np.array(ids, "<i4").tobytes())
+            # Ties for the best may be found in another order than the Viterbi pass has them: its path comes first.
+            first = self.blobs[k]
+            if blobs[0] != first:
+                if first in blobs:
+                    blobs.remove(first)
+                else:
+                    blobs.pop()
+                blobs.insert(0, first)
+            got = losses + [math.inf] * (len(found) < n), blobs
+            self.ranked[k] = got
+        return got
+
+    def n_best(self, ids: np.ndarray, n: int) -> tuple[list[float], list[bytes]]:
+        """Scores and pieces (little-endian 32-bit ids) of the ``n`` best segmentations of a text, best first."""
         best = float(self.score[ids].sum())
+        whole = b"".join(map(self.blobs.__getitem__, ids.tolist()))
+        if n == 1:
+            return [best], [whole]
         gaps = self.gap[ids]
         near = np.argsort(gaps, kind="stable")[: n - 1] if len(gaps) <= 64 else self._smallest(gaps, n - 1)
-        losses = []
-        for i in near.tolist():
-            if math.isinf(gaps[i]):
-                continue
-            k = int(ids[i])
-            ranked = self.ranked.get(k)
-            if ranked is None or len(ranked) < n and not math.isinf(ranked[-1]):
-                found = n_best(self.names[k], self.index, self.scores, self.unknown, n, self.table.longest)
-                ranked = [found[0][0] - s for s, _ in found] + [math.inf] * (len(found) < n)
-                self.ranked[k] = ranked
-            losses.append(ranked)
-        out, queue, seen = [], [(0.0, (0,) * len(losses))], set()
-        while queue and len(out) < n:
+        near = np.sort(near[np.isfinite(gaps[near])])
+        ends = np.cumsum(self.size[ids]).astype(np.int64) * 4
+        places = [(int(ends[i]) - len(self.blobs[int(ids[i])]), int(ends[i])) for i in near]
+        ranked = [self._ranked(int(ids[i]), n) for i in near]
+        scores, paths, queue, seen = [], [], [(0.0, (0,) * len(ranked))], set()
+        while queue and len(scores) < n:
             loss, state = heapq.heappop(queue)
-            out.append(best - loss)
-            for j, ranked in enumerate(losses):
+            scores.append(best - loss)
+            parts, at = [], 0
+            for (start, end), (_, blobs), r in zip(places, ranked, state, strict=True):
+                if r:
+                    parts += [whole[at:start], blobs[r]]
+                    at = end
+            paths.append(b"".join([*parts, whole[at:]]) if parts else whole)
+            for j, (losses, _) in enumerate(ranked):
                 up = state[j] + 1
-                if up < len(ranked) and not math.isinf(ranked[up]):
+                if up < len(losses) and not math.isinf(losses[up]):
                     nxt = (*state[:j], up, *state[j + 1 :])
                     if nxt not in seen:
                         seen.add(nxt)
-                        heapq.heappush(queue, (loss - ranked[state[j]] + ranked[up], nxt))
-        return out
+                        heapq.heappush(queue, (loss - losses[state[j]] + losses[up], nxt))
+        return scores, paths
 
     @staticmethod
     def _smallest(gaps: np.ndarray, k: int) -> np.ndarray:
@@ -183,69 +208,83 @@ class Codec:
             part = np.concatenate([low, np.flatnonzero(gaps == bound)[: k - len(low)]])
         return part
 
-    def encode(self, texts: list[str | None], n: int = 1) -> Iterator[tuple[np.ndarray, list[float]] | None]:
-        """(piece ids of the best segmentation, scores of the ``n`` best) of each text."""
+    def encode(self, texts: list[str | None], n: int = 1) -> Iterator[tuple[list[float], list[np.ndarray]] | None]:
+        """(scores, piece ids) of the ``n`` best segmentations of each text, best first."""
         for ids in self.rows(texts):
             if ids is None:
                 yield None
             else:
-                blob = b"".join(map(self.blobs.__getitem__, ids.tolist()))
-                yield np.frombuffer(blob, "<i4"), self.n_best_scores(ids, n)
+                scores, paths = self.n_best(ids, n)
+                yield scores, [np.frombuffer(p, "<i4") for p in paths]
 
     def decode(self, ids: np.ndarray | list[int]) -> str:
         raw = b"".join(map(self.text_of.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids))
         return raw.decode("utf-8", "surrogatepass")[1:]
 
 
-def encode(docs: DataFrame, model_file: str, n: int = 4, text: str = "text", with_ids: bool = True) -> DataFrame:
-    """All columns of ``docs`` but the text column if ``with_ids`` is false, plus results of the whole text.
+RESULTS = {"n_pieces": ("bigint", pa.int64()), "best_score": ("double", pa.float64()), "n_found": ("int", pa.int32()), "second_loss": ("double", pa.float64()), "nth_loss": ("double", pa.float64()), "ids_sha256": ("string", pa.string()), "nbest_sha256": ("array<string>", pa.list_(pa.string())), "round_trip": ("boolean", pa.bool_()), "piece_ids": ("array<int>", pa.list_(pa.int32())), "segmentations": ("array<array<int>>", pa.list_(pa.list_(pa.int32())))}
+
+
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    """One list for each array, without a Python object per number."""
+    ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.zeros(0, "<i4"), pa.int32()))
+
+
+def encode(docs: DataFrame, model_file: str, n: int = 4, text: str = "text", with_ids: bool = True, with_segmentations: bool = False, with_text: bool = True) -> DataFrame:
+    """All columns of ``docs`` (the text column only if ``with_text``), plus results of the whole text.
 
     n_pieces, best_score, n_found (segmentations found, at most ``n``), second_loss (null: only one),
-    nth_loss (of the last one found), ids_sha256 (of the little-endian 32-bit ids), round_trip,
-    and piece_ids if ``with_ids``.
+    nth_loss (of the last one found), ids_sha256 (of the little-endian 32-bit ids of the best one),
+    nbest_sha256 (of every one found), round_trip (every one found decodes to the text),
+    piece_ids (the best one) if ``with_ids``, and segmentations (all that were found, best first) if ``with_segmentations``.
     """
     sent = docs.sparkSession.sparkContext.broadcast(Codec(model_file))
-    extra = [("n_pieces", "bigint"), ("best_score", "double"), ("n_found", "int"), ("second_loss", "double"), ("nth_loss", "double"), ("ids_sha256", "string"), ("round_trip", "boolean")]
-    if with_ids:
-        extra.append(("piece_ids", "array<int>"))
-    names = [c for c in docs.columns if c not in dict(extra)]
-    kinds = [pa.int64(), pa.float64(), pa.int32(), pa.float64(), pa.float64(), pa.string(), pa.bool_(), pa.list_(pa.int32())]
+    extra = [c for c in RESULTS if (c != "piece_ids" or with_ids) and (c != "segmentations" or with_segmentations)]
+    names = [c for c in docs.columns if c not in extra and (c != text or with_text)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = sent.value
         for whole in batches:
             for at in range(0, max(1, whole.num_rows), 2000):
                 batch = whole.slice(at, 2000)
-                texts = batch.column(text).to_pylist()
-                rows, flat, ends = [], [], [0]
-                for t, got in zip(texts, codec.encode(texts, n), strict=True):
+                rows, best, every = [], [], []
+                for t, got in zip(batch.column(text).to_pylist(), codec.encode(batch.column(text).to_pylist(), n), strict=True):
                     if got is None:
-                        rows.append((None,) * 7)
-                        ends.append(ends[-1])
+                        rows.append((None,) * 8)
                         continue
-                    ids, scores = got
-                    rows.append((len(ids), scores[0], len(scores), scores[0] - scores[1] if len(scores) > 1 else None, scores[0] - scores[-1] if len(scores) > 1 else None, hashlib.sha256(ids.tobytes()).hexdigest(), codec.decode(ids) == t if len(ids) else t == ""))
-                    flat.append(ids)
-                    ends.append(ends[-1] + len(ids))
-                columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=False)] if rows else [pa.array([], k) for k in kinds[:7]]
+                    scores, paths = got
+                    sums = [hashlib.sha256(p).hexdigest() for p in paths]
+                    last = [scores[0] - scores[k] if len(scores) > 1 else None for k in (1 if len(scores) > 1 else 0, -1)]
+                    same = all((codec.decode(p) if len(p) else "") == t for p in paths)
+                    rows.append((len(paths[0]), scores[0], len(scores), *last, sums[0], sums, same))
+                    best.append(paths[0])
+                    every.append(paths)
+                there = [r[0] is not None for r in rows]
+                columns = [pa.array(c, RESULTS[k][1]) for c, k in zip(zip(*rows, strict=True), RESULTS, strict=False)] if rows else [pa.array([], RESULTS[k][1]) for k in list(RESULTS)[:8]]
+                # A row without a text takes a null instead of a list.
+                take = pa.array(np.cumsum(there) - 1, mask=~np.array(there, dtype=bool)) if rows else pa.array([], pa.int64())
                 if with_ids:
-                    offsets = pa.array([e if r[0] is not None else None for e, r in zip(ends, rows, strict=False)] + [ends[-1]], pa.int32())
-                    columns.append(pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(flat) if flat else np.zeros(0, "<i4"), pa.int32())))
-                kept = [batch.column(c) for c in names if with_ids or c != text]
-                yield pa.RecordBatch.from_arrays([*kept, *columns], [*(c for c in names if with_ids or c != text), *(c for c, _ in extra)])
+                    columns.append(_lists(best).take(take))
+                if with_segmentations:
+                    ends = np.concatenate([[0], np.cumsum([len(p) for p in every])]).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends), _lists([p for paths in every for p in paths])).take(take))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *columns], [*names, *extra])
 
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names if with_ids or c != text), *(f"{c} {k}" for c, k in extra)])
-    return docs.select(*names).mapInArrow(run, schema)
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names), *(f"{c} {RESULTS[c][0]}" for c in extra)])
+    return docs.select(*dict.fromkeys([*names, text])).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, model_file: str, ids: str = "piece_ids", to: str = "text") -> DataFrame:
-    """The text of each row's piece ids; null ids give a null text."""
-    from pyspark.sql import functions as F
-
+    """``encoded`` with the text of each row's piece ids as column ``to``; null ids give a null text."""
     sent = encoded.sparkSession.sparkContext.broadcast(Codec(model_file))
+    names = [c for c in encoded.columns if c != to]
 
-    @F.udf("string", useArrow=True)
-    def text_of(x):
-        return None if x is None else sent.value.decode(list(x)) if len(x) else ""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = sent.value
+        for batch in batches:
+            texts = [None if x is None else codec.decode(x) if len(x) else "" for x in batch.column(ids).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(texts, pa.string())], [*names, to])
 
-    return encoded.withColumn(to, text_of(ids))
+    schema = ", ".join([*(f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in names), f"`{to}` string"])
+    return encoded.select(*dict.fromkeys([*names, ids])).mapInArrow(run, schema)

@@ -64,7 +64,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return piece_codec.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECES, n=4, with_ids=False)
+    return piece_codec.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECES, n=4, with_ids=False, with_text=False)
 
 
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
