@@ -1,13 +1,16 @@
 """Deterministic sharded WARC writer and reader.
 
 Records are range-sorted by an integer key. Shard limits come from a histogram
-of payload bytes over the key range, refined where a bucket is too full, so they
+of payload bytes over the key range, refined where buckets are too full, so they
 depend on the data only and not on how Spark deals it out. Each task writes the
 files of its shards: one gzip member per record, a new file as soon as the
 compressed size passes ``roll_bytes``. Headers, lengths and digests are made
 anew. A file is written under a temporary name and then renamed; every shard
 ends with a manifest, and a Parquet table of all files, written last, commits
-the whole. A task that runs again writes the same bytes under the same names.
+the whole. A task that runs again writes the same bytes under the same names, so
+its rename may replace the file of an earlier attempt (the file system must allow
+that, as local and object stores do); what dead attempts left under temporary
+names is removed after the commit.
 
 Records whose payloads are equal, of at least ``min_revisit_bytes`` bytes: the
 one with the smallest key is a response, the others are revisits of it.
@@ -39,6 +42,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import remove_dir, remove_matching, stored
+
 #: Fixed values of the format.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 FILE_TYPE = "shard int, file string, n_records bigint, bytes bigint, first_key bigint, last_key bigint"
@@ -72,24 +77,58 @@ def make_record(key: int, copy: int, url: str | None, payload: bytes, digest: st
     return "\r\n".join(head).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+#: Shards are as large as it takes to need no more than so many.
+MOST_SHARDS = 100_000
+
+
+def _place_in(sent):
+    """Of a key: the first key of its range and of its bucket there, for the broadcast (first, last, width) of the ranges."""
+
+    @F.pandas_udf(T.StructType([T.StructField("range", T.LongType()), T.StructField("first", T.LongType())]))
+    def place(keys: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        lows, highs, widths = sent.value
+        for k in keys:
+            k = k.to_numpy()
+            at = np.maximum(np.searchsorted(lows, k, side="right") - 1, 0)
+            low, width = lows[at], widths[at]
+            # Differences of keys as unsigned numbers: they may be beyond the signed range.
+            first = low + ((k.view(np.uint64) - low.view(np.uint64)) // width.view(np.uint64)).view(np.int64) * width
+            inside = (k >= low) & (k <= highs[at])
+            yield pd.DataFrame({"range": pd.Series(low).astype("Int64"), "first": pd.Series(first).astype("Int64").where(inside)})
+
+    return place
+
+
 def shard_limits(sizes: DataFrame, target: int, buckets: int = 2048) -> list[int]:
-    """Ascending first keys of the shards after the first. ``sizes``: key, bytes. At most ``buckets`` sums a range come to the driver."""
-    span = sizes.agg(F.min("key").alias("lo"), F.max("key").alias("hi")).first()
+    """Ascending first keys of the shards after the first. ``sizes``: key, bytes, stored.
+
+    A histogram over the key range; all of its buckets that are too full are refined together, in one job a level,
+    so the number of jobs depends on how unevenly keys lie and not on the size of the input. The sums that come to
+    the driver number some four a shard.
+    """
+    span = sizes.agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.sum("bytes").alias("n")).first()
     if span.lo is None:
         return []
-
-    def sums(lo: int, hi: int) -> list[tuple[int, int]]:
-        """(first key, bytes) of the filled buckets of lo..hi, split again where one is too full."""
-        width = max(1, -(-(hi - lo + 1) // buckets))
-        rows = sizes.where(F.col("key").between(lo, hi)).groupBy(F.expr(f"(key - {lo}L) div {width}L").alias("b")).agg(F.sum("bytes").alias("n")).orderBy("b").collect()
-        out = []
+    target = max(target, span.n // MOST_SHARDS)
+    # Ranges to look into: first key, last key, width of their buckets.
+    active = [(span.lo, span.hi, max(1, -(-(span.hi - span.lo + 1) // buckets)))]
+    found: list[tuple[int, int]] = []
+    while active:
+        width_of = {first: (last, width) for first, last, width in active}
+        lows, highs, widths = (np.array(c, dtype=np.int64) for c in zip(*sorted(active), strict=True))
+        sent = sizes.sparkSession.sparkContext.broadcast((lows, highs, widths))
+        rows = sizes.select(_place_in(sent)("key").alias("p"), "bytes").where("p.first IS NOT NULL").groupBy("p.range", "p.first").agg(F.sum("bytes").alias("n")).collect()
+        active = []
         for r in rows:
-            first = lo + int(r.b) * width
-            out += sums(first, min(hi, first + width - 1)) if r.n > 2 * target and width > 1 else [(first, r.n)]
-        return out
-
+            last, width = width_of[r.range]
+            if r.n > 2 * target and width > 1:
+                last = min(last, r.first + width - 1)
+                parts = min(buckets, max(16, 4 * r.n // target))
+                active.append((r.first, last, max(1, -(-(last - r.first + 1) // parts))))
+            else:
+                found.append((r.first, r.n))
     limits, filled = [], 0
-    for first, n in sums(span.lo, span.hi):
+    for first, n in sorted(found):
         if filled and filled + n > target:
             limits.append(first)
             filled = 0
@@ -137,7 +176,7 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
 
     spark = pages.sparkSession
     rows = pages.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(url).alias("url"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("html"))
-    facts = rows.select("key", F.sha1(F.col("html").cast("binary")).alias("digest"), F.octet_length("html").cast("long").alias("bytes"))
+    facts = stored(rows.select("key", F.sha1(F.col("html").cast("binary")).alias("digest"), F.octet_length("html").cast("long").alias("bytes")), f"{folder}/facts")
     limits = np.array(shard_limits(facts.select("key", (F.col("bytes") + 400).alias("bytes")), shard_bytes), dtype=np.int64)
     sent = spark.sparkContext.broadcast(limits)
 
@@ -187,6 +226,8 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
     # Task k holds shard k and no other.
     sorted_ = every.repartitionById(len(limits) + 1, F.col("shard")).sortWithinPartitions("shard", "key", "tag", "url", "html")
     sorted_.mapInArrow(run, FILE_TYPE).write.mode("overwrite").parquet(f"{folder}/manifest")
+    remove_dir(spark, f"{folder}/facts")
+    remove_matching(spark, f"{folder}/data/_temporary-*")
     return spark.read.schema(FILE_TYPE).parquet(f"{folder}/manifest")
 
 

@@ -309,6 +309,23 @@ def test_shard_limits_are_even(spark):
     assert len(limits) >= 9 and sizes.max() <= 30_000
 
 
+def test_shard_limits_take_as_many_jobs_for_more_rows(spark):
+    def jobs(n):
+        tracker = spark.sparkContext.statusTracker()
+        group = f"limits{n}"
+        sizes = spark.range(n).selectExpr("id key", f"{100_000_000 // n}L bytes")
+        spark.sparkContext.setJobGroup(group, group)
+        found = warc.shard_limits(sizes, 100_000, buckets=16)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(tracker.getJobIdsForGroup(group)), len(found)
+
+    few, many = jobs(20_000), jobs(200_000)
+    assert few[1] > 500 and many[1] > 500 and many[0] <= few[0] + 2
+    edges = spark.createDataFrame([(-(1 << 63), 500), ((1 << 63) - 1, 500), (0, 500), (1, 500), (2, 500)], "key long, bytes long")
+    limits = warc.shard_limits(edges, 500, buckets=4)
+    assert np.searchsorted(limits, [-(1 << 63), 0, 1, 2, (1 << 63) - 1], side="right").tolist() == [0, 1, 2, 3, 4]
+
+
 def test_mixing_reaches_targets(spark):
     rng = np.random.default_rng(9)
     own = {"clean": [f"c{k}" for k in range(40)], "toxic": [f"t{k}" for k in range(40)], "low": [f"l{k}" for k in range(40)]}

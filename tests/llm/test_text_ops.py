@@ -53,6 +53,28 @@ def test_forward_sums_all_segmentations(vocabulary):
     for word in ("▁the", "▁über", "▁☃a"):
         want = sum(np.prod([probs[known.get(p, len(pieces))] for p in path], axis=0) for path in paths(word, known))
         assert np.allclose(model.word_scores([word])[0], np.log(want))
+        assert np.allclose(langid.long_forward(table, word, probs, len(pieces)), np.log(want))
+    # Long words: all segmentations, in numbers of any size.
+    from fractions import Fraction
+
+    exact = [[Fraction(float(v)) for v in row] for row in probs]
+    long = "▁" + "überthe☃" * 12
+    for k in range(2):
+        sums = [Fraction(1)] + [Fraction(0)] * len(long)
+        for end in range(1, len(long) + 1):
+            for start in range(max(0, end - table.longest), end):
+                i = known.get(long[start:end], len(pieces) if start == end - 1 else None)
+                sums[end] += sums[start] * exact[i][k] if i is not None else 0
+        want = math.log(sums[-1].numerator) - math.log(sums[-1].denominator)
+        assert math.isclose(model.word_scores(["▁a", long])[1][k], want, rel_tol=1e-9)
+
+
+def test_a_rare_language_is_learned(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(f"palabra{rng.integers(5000)}casa".translate(str.maketrans("0123456789", "abcdefghij")) for _ in range(300)), "es", None, None, None) for i in range(300)]
+    rows += [(1000 + i, "quux zyzzy wuvvle " * 5, "xx", None, None, None) for i in range(6)]
+    out = {r.doc_id: r.lang_pred for r in langid.identify(spark.createDataFrame(rows, DOCS), PIECES).collect()}
+    assert all(out[1000 + i] == "xx" for i in range(6)) and all(out[i] == "es" for i in range(300))
 
 
 def test_language_id(spark):
@@ -145,7 +167,7 @@ def brute_license(text):
 def test_license_scan(spark):
     apache = license_scan.TEMPLATES[1][1]
     mit = license_scan.TEMPLATES[4][1]
-    texts = [None, "", "no words here", "ALL rights-reserved. all  rights reserved", "cc by cc by general public license", "x " * 30 + apache, apache.replace("obtain a copy", "get one single copy") + " tail " * 40, "Licensed under the Apache License, Version 2.0.", "Released under the MIT License.", "of the in the under the terms of the " * 10, "y " * 5000 + mit + " z" * 5000, "Licensed under CC BY-NC 4.0.", "épublic general public licenseé", "all rights", "reserved all rights reserved"]
+    texts = [None, "", "no words here", "ALL rights-reserved. all  rights reserved", "cc by cc by general public license", "x " * 30 + apache, apache.replace("obtain a copy", "get one single copy") + " tail " * 40, "Licensed under the Apache License, Version 2.0.", "Released under the MIT License.", "of the in the under the terms of the " * 10, "y " * 5000 + mit + " z" * 5000, "Licensed under CC BY-NC 4.0.", "épublic general public licenseé", "ALL RIGHTS RESERVED Kelvin All Rights Reserved", "all rights", "reserved all rights reserved"]
     df = spark.createDataFrame([(i, t, None, None, "t", None) for i, t in enumerate([*texts, texts[3]])], DOCS).withColumn("doc_id", F.when(F.col("doc_id") == len(texts), 3).otherwise(F.col("doc_id")))
     out = license_scan.scan(df).collect()
     assert len(out) == len(texts) + 1
@@ -194,8 +216,13 @@ def test_n_best_against_all_segmentations(vocabulary):
     for text in ("the cat", "hello\nworld", "a☃b", "ab  cd", "über", " x", "x ", "a\n b", "\n\n"):
         form = "▁" + text.replace(" ", "▁")
         every = sorted((sum(scores[known[p]] if p in known else codec.unknown for p in path) for path in paths(form, known)), reverse=True)
-        (ids, best), = codec.encode([text], 5)
-        assert np.allclose(best, every[:5]) and codec.decode(ids) == text
+        (best, found), = codec.encode([text], 5)
+        assert np.allclose(best, every[:5]) and codec.decode(found[0]) == text
+        # Each of the N is another segmentation, has the score it is said to have and decodes to the text.
+        assert len({p.tobytes() for p in found}) == len(found) == len(best) and all(codec.decode(p) == text for p in found)
+        score_of = lambda p: sum(scores[i] for i in p.tolist() if plain[i])
+        if all(c in known for c in form):
+            assert np.allclose([score_of(p) for p in found], best)
         direct = lattice.n_best(form, known, scores, codec.unknown, 5, 16)
         assert np.allclose([s for s, _ in direct], every[:5])
         assert all("".join(form[a:b] for a, b, _ in path) == form for _, path in direct)
@@ -204,11 +231,18 @@ def test_n_best_against_all_segmentations(vocabulary):
 def test_codec_over_documents(spark):
     texts = [None, "", "plain text", "tab\tand\x00nul", "é" * 2000, "word " * 20000, "no_space" * 300, "emoji 😀 end", "  lead\n\n trail  ", "plain text"]
     df = spark.createDataFrame([(i, t, None, None, "kept", None) for i, t in enumerate(texts)], DOCS)
-    out = piece_codec.encode(df, PIECES, n=3)
+    out = piece_codec.encode(df, PIECES, n=3, with_segmentations=True)
     rows = {r.doc_id: r for r in out.collect()}
     assert rows[0].n_pieces is None and rows[1].n_pieces == 0 and rows[1].round_trip and rows[1].n_found == 1
     assert all(rows[i].round_trip for i in range(1, len(texts))) and rows[2].ids_sha256 == rows[9].ids_sha256
     assert all(len(rows[i].piece_ids) == rows[i].n_pieces for i in range(1, len(texts))) and rows[2].text_ == "kept"
+    for i in range(1, len(texts)):
+        r = rows[i]
+        assert r.segmentations[0] == r.piece_ids and len(r.segmentations) == r.n_found == len(r.nbest_sha256)
+        assert len({tuple(x) for x in r.segmentations}) == r.n_found
+    assert rows[0].segmentations is None and rows[0].piece_ids is None and rows[2].n_found == 3
+    named = piece_codec.encode(df.withColumn("n_pieces", F.lit("x")), PIECES)
+    assert dict(named.dtypes)["n_pieces"] == "bigint" and named.columns.count("n_pieces") == 1
     back = {r.doc_id: r.back for r in piece_codec.decode(out, PIECES, to="back").collect()}
     assert [back[i] for i in range(len(texts))] == texts
     assert piece_codec.encode(df.limit(0), PIECES).count() == 0
@@ -216,7 +250,8 @@ def test_codec_over_documents(spark):
 
 def test_results_do_not_depend_on_the_cache(monkeypatch):
     texts = [f"some words {k} and more of them {k * 7}" for k in range(50)]
-    want = [(ids.tolist(), s) for ids, s in piece_codec.Codec(PIECES).encode(texts, 3)]
+    plainly = lambda got: (got[0], [p.tolist() for p in got[1]])
+    want = [plainly(x) for x in piece_codec.Codec(PIECES).encode(texts, 3)]
     monkeypatch.setattr(piece_codec, "CACHE_CHUNKS", 4)
     small = piece_codec.Codec(PIECES)
-    assert [(ids.tolist(), s) for t in texts for ids, s in small.encode([t], 3)] == want
+    assert [plainly(x) for t in texts for x in small.encode([t], 3)] == want
