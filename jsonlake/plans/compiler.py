@@ -404,6 +404,10 @@ class Compiler:
         id_name = f"{s.label}|id"
         element = F.struct(F.col("listpos").alias("pos"), F.when(F.col("ot") == V.NULL, F.lit(0)).when(F.col("ot").isin([*V.NUMERIC, V.BOOLEAN]), F.lit(1)).when(F.col("ot") == V.REF, F.lit(3)).otherwise(F.lit(2)).cast("tinyint").alias("r"), F.when(F.col("ot").isin(V.NUMERIC), F.col("o").try_cast("double")).when(F.col("ot") == V.BOOLEAN, F.when(F.col("o") == "true", 1.0).otherwise(0.0)).alias("n"), F.col("o").alias("s"), F.col("ot").alias("ot"))
         q = q.where(~F.col("s").startswith(LISTS))  # list resources are values, not objects
+        if self.revisions is not None:
+            # Each statement carries the commit of its last change.
+            q = q.join(self.revisions, ["s", "p", "o", "ot", "c"], "left")
+            element = element.withField("tx", F.col("tx"))
         rows = q if s.star else (q.where(F.col("p").isin(names)) if names and any(s.props.values()) else q)
         aggs = [F.sort_array(F.collect_list(F.when(F.col("p") == p, element))).alias(f"{s.label}|{p}") for p in names]
         if s.star:
@@ -466,7 +470,7 @@ class Compiler:
 
     def _semi(self, s: Source, df: DataFrame, get: Getter) -> DataFrame:
         for x, fs, wanted in s.semi:
-            inner = Compiler(self.spark, self.catalog, self.binds, self.functions, self.aggregates)
+            inner = Compiler(self.spark, self.catalog, self.binds, self.functions, self.aggregates, revisions=self.revisions)
             inner.prefixes = self.prefixes
             label = fs.label or "$set"
             inner.main = label

@@ -23,7 +23,10 @@ from .render import EMBEDDED, Renderer
 from .sources import formats
 from .sources.docjson import QUADS, DocReader, to_quads
 from .sources.files import stored, work_dir
-from .streaming.history import History
+from .streaming.history import History, changes_after, last_revision
+
+#: Revision functions of the language: field of a commit, kind of its value.
+REVISION_FUNCTIONS = {"getTransactionId": ("rev", "str"), "getTransactionTime": ("at", "num"), "getTransactionAuthor": ("author", "str"), "getTransactionComment": ("comment", "str")}
 
 
 class Store:
@@ -72,13 +75,25 @@ class Store:
         return cls(spark, spark.createDataFrame([], QUADS), folder=path, **how)
 
     @staticmethod
-    def _pointer(spark: SparkSession, folder: str) -> str | None:
+    def _pointers(spark: SparkSession, folder: str):
         jvm = spark.sparkContext._jvm
         where = jvm.org.apache.hadoop.fs.Path(f"{folder}/CURRENT")
         fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(where):
-            return None
-        return spark.read.text(f"{folder}/CURRENT").first().value
+        names = sorted(x.getPath().getName() for x in fs.listStatus(where)) if fs.exists(where) else []
+        return fs, [n for n in names if n[:1].isdigit()]
+
+    @classmethod
+    def _pointer(cls, spark: SparkSession, folder: str) -> str | None:
+        """The snapshot that the last pointer names. Pointers are only added, so a crash leaves the one before."""
+        _, names = cls._pointers(spark, folder)
+        return names[-1].split("_", 1)[1] if names else None
+
+    def _point(self, snapshot: str) -> None:
+        """Add a pointer: an empty file whose name is a number and the snapshot, made in one step."""
+        fs, names = self._pointers(self.spark, self.folder)
+        number = int(names[-1].split("_", 1)[0]) + 1 if names else 0
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/CURRENT/{number:012d}_{snapshot}")
+        fs.create(path, False).close()
 
     def with_history(self, folder: str, branch: str = "A") -> Store:
         self.history = History(self.spark, folder, branch)
@@ -95,7 +110,8 @@ class Store:
         tree = parse(query) if isinstance(query, str) else query
         catalog = Catalog(self.catalog.tables, self.quads if self.catalog.quads is not None or self.read_only else None)
         functions = {**self.functions, **self._revision_functions()}
-        return Compiler(self.spark, catalog, binds, functions, self.aggregates, grouped).compile(tree)
+        asked = any(name in repr(tree) for name in REVISION_FUNCTIONS)
+        return Compiler(self.spark, catalog, binds, functions, self.aggregates, grouped, self._statement_revisions() if asked else None).compile(tree)
 
     def query_df(self, query: str, binds: dict | None = None, grouped: bool | None = None) -> DataFrame:
         """The result as a distributed DataFrame. Joined objects give a row each unless ``grouped``."""
@@ -105,7 +121,7 @@ class Store:
         if c.shape == "object" and c.mergeall:
             pairs = [F.struct((F.col(f.dynamic) if f.dynamic else F.lit(f.name)).alias("k"), F.col(f"`{f.column}`").cast("string").alias("v")) for f in got.fields]
             rows = df.select(F.explode(F.array(*pairs)).alias("x")).select("x.k", "x.v").where("k IS NOT NULL")
-            merged = rows.groupBy("k").agg(F.last("v").alias("v"))
+            merged = rows.groupBy("k").agg(F.max("v").alias("v"))
             return merged.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("merged"))
         for f in got.fields:
             if f.kind == "star" and f.value_kind == "struct" and f.name is None:
@@ -204,33 +220,24 @@ class Store:
         self.aggregates[name] = lambda arr: F.aggregate(F.filter(arr, lambda x: x.isNotNull()), F.lit(initial).cast("double"), step, final or (lambda x: x))
 
     def _revision_functions(self) -> dict[str, Function]:
-        """Revision metadata of the statement behind a property; null without history."""
+        """Metadata of the last commit of the statement behind a property; null without history."""
         out = {}
-        for name, col in (("getTransactionId", "rev"), ("getTransactionTime", "at"), ("getTransactionAuthor", "author"), ("getTransactionComment", "comment")):
-            kind = "num" if col == "at" else "str"
-            if self.history is None or not self.history._revisions:
-                out[name] = Function(lambda v, kind=kind: Val(F.lit(None).cast("double" if kind == "num" else "string"), kind), 1, 1, 0)
-                continue
-            # One commit per revision: the map from a value to its revision is joined into the elements as a small table.
-            last = self._last_revisions(col)
+        for name, (field, kind) in REVISION_FUNCTIONS.items():
 
-            def look(v: Val, last=last, kind=kind) -> Val:
-                return Val(F.try_element_at(last, v.col["s"]), kind)
+            def look(v: Val, field=field, kind=kind) -> Val:
+                known = self.history is not None and self.history.tip and v.kind == "any" and v.prop
+                return Val(v.col["tx"][field] if known else F.lit(None).cast("double" if kind == "num" else "string"), kind)
 
             out[name] = Function(look, 1, 1, 0)
         return out
 
-    def _last_revisions(self, col: str) -> Column:
-        """Value text -> metadata of its last revision, as a literal map (at most 10,000 statements, checked)."""
-        from .streaming.history import last_revision
-
+    def _statement_revisions(self) -> DataFrame | None:
+        """s, p, o, ot, c, tx: the commit that changed a statement last."""
         h = self.history
-        rows = last_revision(h.changes(), h.order()).join(F.broadcast(h.revisions()), "rev").select("o", F.col(col).alias("x"), "at").orderBy("at").limit(10_001).collect()
-        if len(rows) > 10_000:
-            raise QueryError("revision functions need a history of at most 10,000 statements; join History.changes() instead")
-        found = {r.o: r.x for r in rows}
-        pairs = [x for k, v in found.items() for x in (F.lit(k), F.lit(v))]
-        return F.create_map(*pairs)
+        if h is None or not h.tip:
+            return None
+        rows = last_revision(h.changes(), h.order()).join(h.revisions(), "rev")
+        return rows.select(*QUAD, F.struct("rev", "at", "author", "comment").alias("tx"))
 
     # -- writing
 
@@ -260,17 +267,18 @@ class Store:
         self._commit(base, added, removed, author, comment)
         return added, removed
 
-    def _commit(self, state: DataFrame, added: DataFrame | None, removed: DataFrame | None, author: str, comment: str) -> None:
+    def _commit(self, state: DataFrame, added: DataFrame | None, removed: DataFrame | None, author: str, comment: str, logged: bool = False) -> None:
+        """Make a state the store's; ``logged``: the history has its changes already."""
         self._fire("before-commit", added, removed)
         folder = self.folder or work_dir(self.spark, "store")
         name = f"snapshot-{uuid.uuid4().hex[:12]}"
         # A snapshot sorted by property prunes scans of one property; the pointer names it once it is whole.
         fresh = stored(state.select(*QUAD, "listpos").repartitionByRange("p", "s").sortWithinPartitions("p", "s", "o"), f"{folder}/{name}")
-        if self.history is not None:
+        if self.history is not None and not logged:
             self.history.commit(added, removed, author, comment)
         self._fire("finalize-commit", added, removed)
         if self.folder is not None:
-            self.spark.createDataFrame([(name,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/CURRENT")
+            self._point(name)
         self.catalog.quads = fresh
         self._fire("after-commit", added, removed)
 
@@ -397,9 +405,14 @@ class Store:
         """Apply a changeset of another branch to the history and to this store."""
         if self.history is None:
             raise ValueError("merge needs a history")
+        before = self.history.tip
         done = self.history.merge(changeset)
         if done:
-            self.catalog.quads = self.history.state()
+            # What this and the changesets that waited for it changed; data that the history never held stays.
+            net = changes_after(self.history.changes(), self.history.order(), before)
+            added, removed = (net.where(F.col("op") == op).select(*QUAD, "listpos") for op in ("add", "del"))
+            rest = without(self.quads, removed, QUAD)
+            self._commit(rest.unionByName(without(added, rest, QUAD)), added, removed, "", "", logged=True)
         return done
 
     def dump(self, path: str, form: str | None = None, mode: str = "errorifexists") -> None:

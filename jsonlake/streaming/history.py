@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import re
 import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from ..operators.sets import QUAD
 
 CHANGESET = "revision string, baserevision string, timestamp double, origin string, statements array<struct<s:string,p:string,o:string,ot:string,c:string,op:string>>"
 CHANGES = "s string, p string, o string, ot string, c string, listpos array<int>, op string, rev string"
-REVISIONS = "rev string, base string, at double, author string, comment string, origin string"
+REVISIONS = "rev string, base string, at double, author string, comment string, origin string, batch string"
 _PART = re.compile(r"([A-Za-z]+)(\d{5,})")
 #: Fixed value: out-of-order changesets that may wait.
 MOST_PENDING = 1000
@@ -68,7 +69,7 @@ def net(changes: DataFrame) -> DataFrame:
 def state_at(changes: DataFrame, order: DataFrame, rev: str | None = None) -> DataFrame:
     """Quads visible at a revision. ``order``: (rev, n) with n ascending in commit order."""
     upto = order if rev is None else order.where(F.col("n") <= F.lit(order.where(F.col("rev") == rev).first().n))
-    rows = net(changes).join(F.broadcast(upto), "rev")
+    rows = net(changes).join(upto, "rev")
     last = rows.groupBy(*QUAD).agg(F.max_by(F.struct("op", "listpos"), "n").alias("x"))
     return last.where("x.op = 'add'").select(*QUAD, F.col("x.listpos").alias("listpos"))
 
@@ -85,19 +86,19 @@ def revisions_of(changes: DataFrame, subject: str | None = None, context: str |
 def modified_after(changes: DataFrame, order: DataFrame, rev: str) -> DataFrame:
     """Subjects with a change after a revision."""
     at = order.where(F.col("rev") == rev).first()
-    return changes.join(F.broadcast(order), "rev").groupBy("s").agg(F.max("n").alias("n")).where(F.col("n") > F.lit(at.n if at else -1)).select("s")
+    return changes.join(order, "rev").groupBy("s").agg(F.max("n").alias("n")).where(F.col("n") > F.lit(at.n if at else -1)).select("s")
 
 
 def last_revision(changes: DataFrame, order: DataFrame) -> DataFrame:
     """The revision of the last change of each statement."""
-    return changes.join(F.broadcast(order), "rev").groupBy(*QUAD).agg(F.max_by("rev", "n").alias("rev"))
+    return changes.join(order, "rev").groupBy(*QUAD).agg(F.max_by("rev", "n").alias("rev"))
 
 
 def changes_after(changes: DataFrame, order: DataFrame, rev: str) -> DataFrame:
     """Net adds and removes after a branch revision."""
     at = order.where(F.col("rev") == rev).first()
-    later = net(changes).join(F.broadcast(order.where(F.col("n") > F.lit(at.n if at else -1))), "rev")
-    return later.groupBy(*QUAD).agg(F.max_by("op", "n").alias("op"))
+    later = net(changes).join(order.where(F.col("n") > F.lit(at.n if at else -1)), "rev")
+    return later.groupBy(*QUAD).agg(F.max_by(F.struct("op", "listpos"), "n").alias("x")).select(*QUAD, "x.op", "x.listpos")
 
 
 # -- a versioned store in a folder -----------------------------------------------
@@ -106,9 +107,9 @@ def changes_after(changes: DataFrame, order: DataFrame, rev: str) -> DataFrame:
 class History:
     """A change log and a revision table below one folder, with merge of changesets.
 
-    Appending a commit writes one Parquet part of changes, then the row that names
-    it: a change whose revision has no row is not read, so a failed commit leaves
-    nothing visible.
+    Appending a commit writes one Parquet part of changes under an id of its own, then
+    the row that names revision and id: changes whose id has no row are not read, so
+    a failed commit leaves nothing visible, also if its revision is tried again.
     """
 
     def __init__(self, spark: SparkSession, folder: str, branch: str = "A"):
@@ -117,7 +118,7 @@ class History:
         self.pending: list[dict] = []
         try:
             rows = self.spark.read.schema(REVISIONS + ", n bigint").parquet(f"{self.folder}/revisions").orderBy("n").collect()
-            self._revisions = [tuple(r)[:6] for r in rows]
+            self._revisions = [tuple(r)[:7] for r in rows]
         except Exception as e:  # a new history has no table yet
             if "PATH_NOT_FOUND" not in str(e):
                 raise
@@ -135,7 +136,7 @@ class History:
     def changes(self) -> DataFrame:
         if not self._revisions:
             return self.spark.createDataFrame([], CHANGES)
-        return self.spark.read.schema(CHANGES).parquet(f"{self.folder}/changes").join(F.broadcast(self.order().select("rev")), "rev", "left_semi").select("s", "p", "o", "ot", "c", "listpos", "op", "rev")
+        return self.spark.read.schema(CHANGES + ", batch string").parquet(f"{self.folder}/changes").join(self.revisions().select("rev", "batch"), ["rev", "batch"], "left_semi").select("s", "p", "o", "ot", "c", "listpos", "op", "rev")
 
     def state(self, rev: str | None = None) -> DataFrame:
         return state_at(self.changes(), self.order(), rev)
@@ -147,8 +148,9 @@ class History:
             if df is not None:
                 pos = F.col("listpos") if "listpos" in df.columns else F.lit(None).cast("array<int>")
                 rows = rows.unionByName(df.select(*QUAD, pos.alias("listpos"), F.lit(op).alias("op"), F.lit(rev).alias("rev")))
-        net(rows).select("s", "p", "o", "ot", "c", "listpos", "op", "rev").write.mode("append").parquet(f"{self.folder}/changes")
-        row = (rev, self.tip if base is None else base, time.time() if at is None else at, author, comment, origin or self.branch)
+        batch = uuid.uuid4().hex
+        net(rows).select("s", "p", "o", "ot", "c", "listpos", "op", "rev", F.lit(batch).alias("batch")).write.mode("append").parquet(f"{self.folder}/changes")
+        row = (rev, self.tip if base is None else base, time.time() if at is None else at, author, comment, origin or self.branch, batch)
         self.spark.createDataFrame([(*row, len(self._revisions))], REVISIONS + ", n bigint").write.mode("append").parquet(f"{self.folder}/revisions")
         self._revisions.append(row)
         return rev
@@ -199,9 +201,11 @@ class History:
 
     def rebuild(self, log: DataFrame) -> None:
         """History of a change log that has CHANGES' columns, one revision after the other."""
-        for r in log.select("rev").distinct().orderBy("rev").collect():
-            part = log.where(F.col("rev") == r.rev)
-            self.commit(part.where("op = 'add'"), part.where("op = 'del'"), revision=r.rev)
+        # A revision that holds another has larger counters in sum, so sums are an order of commits.
+        revs = sorted((r.rev for r in log.select("rev").distinct().collect()), key=lambda x: (sum(parse_revision(x).values()), x))
+        for rev in revs:
+            part = log.where(F.col("rev") == rev)
+            self.commit(part.where("op = 'add'"), part.where("op = 'del'"), revision=rev)
 
 
 def subscribe(spark: SparkSession, folder: str, history: History, checkpoint: str, once: bool = True):

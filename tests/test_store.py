@@ -188,3 +188,40 @@ def test_inference(spark):
     assert {("x", "D"), ("y", "E"), ("p", I.PROPERTY), ("x", "B"), ("x", I.RESOURCE)} <= made
     assert {r.t for r in I.compatible(q, "C").collect()} == {"A", "B", "C"}
     assert transitive_closure(q.where(f"p = '{I.SUBCLASS}'").selectExpr("s AS src", "o AS dst")).count() == 3
+
+
+def test_merge_keeps_what_the_history_never_held(spark, tmp_path):
+    a = Store.from_json(spark, [{"id": "a", "x": 1}], folder=str(tmp_path / "store")).with_history(str(tmp_path / "a"))
+    b = Store.from_json(spark, []).with_history(str(tmp_path / "b"), "B")
+    b.add({"id": "b", "y": 2})
+    assert a.merge(b.history.changeset(b.history.tip)) is True
+    want = {"a": {"id": "a", "x": 1}, "b": {"id": "b", "y": 2}}
+    assert {r["id"]: r for r in a.query("{*}")} == want
+    assert {r["id"]: r for r in Store.open(spark, str(tmp_path / "store")).query("{*}")} == want
+
+
+def test_revision_functions_tell_statements_with_one_value_apart(spark, tmp_path):
+    s = Store.from_json(spark, []).with_history(str(tmp_path / "h"))
+    s.add({"id": "1", "p": "same"}, author="ann", comment="first")
+    s.add({"id": "1", "q": "same"}, author="bob")
+    s.add({"id": "2", "p": "same"}, author="cid")
+    got = s.query("{id, 'p': getTransactionAuthor(p), 'q': getTransactionAuthor(maybe q), 'r': getTransactionId(p)}")
+    assert sorted((r["id"], r["p"], r.get("q"), r["r"]) for r in got) == [("1", "ann", "bob", "A00001"), ("2", "cid", None, "A00003")]
+
+
+def test_a_commit_that_failed_half_way_stays_invisible(spark, tmp_path):
+    s = Store.from_json(spark, []).with_history(str(tmp_path / "h"))
+    s.add({"id": "1", "p": 1})
+    lost = s.history.changes().limit(1).selectExpr("'9' s", "p", "o", "ot", "c", "listpos", "op", "'A00002' rev", "'dead' batch")
+    lost.write.mode("append").parquet(str(tmp_path / "h" / "changes"))
+    s.add({"id": "2", "p": 2})
+    assert sorted(r.s for r in s.history.state().collect()) == ["1", "2"]
+
+
+def test_rebuild_takes_revisions_in_commit_order(spark, tmp_path):
+    from jsonlake.streaming.history import CHANGES, History
+
+    rows = [("1", "p", "old", "L", "", None, "add", "A99999"), ("1", "p", "old", "L", "", None, "del", "A100000"), ("1", "p", "new", "L", "", None, "add", "A100000")]
+    h = History(spark, str(tmp_path / "r"))
+    h.rebuild(spark.createDataFrame(rows, CHANGES))
+    assert h.tip == "A100000" and [r.o for r in h.state().collect()] == ["new"]
