@@ -80,11 +80,20 @@ def word_pieces(token: Column) -> list[Column]:
     return [*(F.when(F.char_length(token) > k, F.substring(token, 1, k)) for k in range(SHORTEST, LONGEST + 1)), F.concat(token, F.lit("\0"))]
 
 
+def head_of(plain: str) -> str:
+    """What every word with this piece begins with."""
+    return plain[:SHORTEST]
+
+
+#: A word that no text has; it stands for the row itself.
+ROW = "\0"
+
+
 class DomainModel:
-    """Log priors by domain; by 64-bit hash of a piece, what it says for each domain; what any word says against it."""
+    """Log priors by domain; by 64-bit hash of a piece, what it says for each domain; what any word says against it; how pieces begin."""
 
-    def __init__(self, domains: list[str], priors: list[float], buckets: list[tuple], rest: list[float]):
-        self.domains, self.priors, self.buckets, self.rest = domains, priors, buckets, rest
+    def __init__(self, domains: list[str], priors: list[float], buckets: list[tuple], rest: list[float], heads: list[str] | None = None):
+        self.domains, self.priors, self.buckets, self.rest, self.heads = domains, priors, buckets, rest, heads or []
 
 
 def label_domain() -> Column:
@@ -137,26 +146,28 @@ def train(docs: DataFrame, labelled: DataFrame, domains: list[str], sample_rows:
         rest.append(min(0.0, math.log((here + 1) / (words[k] + 1)) - math.log((away + 1) / (words.sum() - words[k] + 1))))
     # A word with a piece of the domain is not one of the rest.
     weight = [lambda r, k=k: r[f"r{k}"] * (1 - (least_deviation / r[f"z{k}"]) ** 2) - rest[k] if r[f"z{k}"] > 0 else 0.0 for k in each]
-    return DomainModel(domains, priors, [(r.bucket, *(float(w(r)) for w in weight)) for r in kept.values()], rest)
+    return DomainModel(domains, priors, [(r.bucket, *(float(w(r)) for w in weight)) for r in kept.values()], rest, sorted({head_of(p.rstrip("\0")) for p in kept}))
 
 
 def posteriors(docs: DataFrame, model: DomainModel) -> DataFrame:
     """doc_id, tokens, p0..pk of every row."""
     spark, n = docs.sparkSession, range(len(model.domains))
     key = F.xxhash64("text").alias("tkey")
-    # Lower case leaves the number of words as it is, so both sizes come from one split. Equal rows are scored once.
-    base = docs.select("doc_id", key, F.size(words_of(F.lower(F.col("text")))).cast("long").alias("tokens"), F.size(distinct_words(F.col("text"))).alias("own"))
-    base = base.groupBy("doc_id", "tkey").agg(F.first("tokens").alias("tokens"), F.first("own").alias("own"), F.count("*").alias("rows"))
-    if model.buckets:
-        table = F.broadcast(spark.createDataFrame(model.buckets, "b bigint, " + ", ".join(f"r{k} double" for k in n)))
-        words = docs.select("doc_id", key, F.explode(distinct_words(F.col("text"))).alias("w")).select("doc_id", "tkey", word_token(F.col("w")).alias("w"))
-        # The hash of null is its seed, not null.
-        hashes = words.select("doc_id", "tkey", F.explode(F.array(*(F.when(p.isNotNull(), F.xxhash64(p)) for p in word_pieces(F.col("w"))))).alias("bucket"))
-        sums = hashes.join(table, F.col("bucket") == F.col("b")).groupBy(F.col("doc_id").alias("__id"), F.col("tkey").alias("__key")).agg(*(F.sum(f"r{k}").alias(f"s{k}") for k in n))
-        base = base.join(sums, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("tkey") == F.col("__key")), "left")
-    else:
-        base = base.select("*", *(F.lit(0.0).alias(f"s{k}") for k in n))
-    logits = [F.lit(model.priors[k]) + F.coalesce(F.col(f"s{k}"), F.lit(0.0)) / F.col("rows") + F.col("own") * F.lit(float(model.rest[k])) for k in n]
+    # Lower case leaves the number of words as it is, so all sizes come from one split.
+    split = docs.select("doc_id", key, words_of(F.lower(F.col("text"))).alias("ws")).select("doc_id", "tkey", F.size("ws").cast("long").alias("tokens"), F.array_distinct("ws").alias("ws"))
+    words = split.select("doc_id", "tkey", "tokens", F.size("ws").alias("own"), F.explode(F.concat(F.array(F.lit(ROW)), "ws")).alias("w"))
+    words = words.select("doc_id", "tkey", "tokens", "own", word_token(F.col("w")).alias("w"))
+    # Most words begin like no piece; both small tables are bounded by the number of pieces.
+    heads = spark.createDataFrame([(h,) for h in {*model.heads, ROW}], "head string")
+    words = words.join(F.broadcast(heads), F.substring("w", 1, SHORTEST) == F.col("head"), "left_semi")
+    # The hash of null is its seed, not null.
+    hashes = words.select("doc_id", "tkey", "tokens", "own", F.explode(F.array(*(F.when(p.isNotNull(), F.xxhash64(p)) for p in word_pieces(F.col("w"))))).alias("bucket"))
+    table = spark.createDataFrame([(b, *w, 0) for b, *w in model.buckets], "b bigint, " + "".join(f"r{k} double, " for k in n) + "is_row int")
+    own_row = spark.range(1).select(F.xxhash64(word_pieces(F.lit(ROW))[-1]).alias("b"), *(F.lit(0.0).alias(f"r{k}") for k in n), F.lit(1).alias("is_row"))
+    scored = hashes.join(F.broadcast(table.unionByName(own_row)), F.col("bucket") == F.col("b"))
+    # Equal rows are scored together and then told apart again.
+    base = scored.groupBy("doc_id", "tkey").agg(F.max("tokens").alias("tokens"), F.max("own").alias("own"), F.sum("is_row").alias("rows"), *(F.sum(f"r{k}").alias(f"s{k}") for k in n))
+    logits = [F.lit(model.priors[k]) + F.col(f"s{k}") / F.col("rows") + F.col("own") * F.lit(float(model.rest[k])) for k in n]
     base = base.select("doc_id", "tokens", "rows", *(x.alias(f"l{k}") for k, x in enumerate(logits)))
     top = F.greatest(*(F.col(f"l{k}") for k in n)) if len(model.domains) > 1 else F.col("l0")
     base = base.select("doc_id", "tokens", "rows", *(F.exp(F.col(f"l{k}") - top).alias(f"e{k}") for k in n))
