@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod
+from .common import crc_mod, stored, work_dir
 from .lattice import SPACE, Numbers, PieceTable, by_length, read_vocabulary
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -36,6 +36,8 @@ MAX_WORD = 40
 #: ASCII bytes that are no letters become spaces; what else parts words is sorted out once per word.
 _ASCII_LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 CACHE_WORDS = 700_000
+#: Ids of sampled documents that are broadcast at most; more (over a thousand languages) are joined.
+MOST_BROADCAST = 1_000_000
 
 
 def parts_of(word: str) -> str | list[str]:
@@ -207,8 +209,16 @@ def fit(counts: dict[str, dict[str, int]], table: PieceTable, n_pieces: int, rou
 def train(docs: DataFrame, model_file: str, sample_docs: int = 1000, sample_words: int = 50_000) -> LangModel:
     """Fit on a bounded sample of rows that have text and lang: ``docs`` needs doc_id, text, lang."""
     rows = docs.select("doc_id", "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
+    # Only documents whose hash is low enough for their language are ranked: some 2 * sample_docs of each, however many there are.
+    ids = rows.select("doc_id", "lang")
+    sizes = ids.groupBy(F.col("lang").alias("__lang")).agg(F.count("*").alias("n"))
+    uniform = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) / F.lit(float(1 << 31))
+    near = ids.join(sizes, F.col("lang") == F.col("__lang")).where(uniform < F.lit(2.0 * sample_docs) / F.col("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = rows.select("doc_id", "lang").withColumn("k", rank).where(F.col("k") <= sample_docs).select(F.col("doc_id").alias("__id")).distinct()
+    chosen = near.withColumn("k", rank).where(F.col("k") <= sample_docs).select(F.col("doc_id").alias("__id")).distinct()
+    chosen = stored(chosen, work_dir(docs.sparkSession, "languages") + "/sample")
+    if chosen.count() <= MOST_BROADCAST:
+        chosen = F.broadcast(chosen)
     words = rows.join(chosen, F.col("doc_id") == F.col("__id"), "left_semi").select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
     top = words.where("word != ''").groupBy("lang", "word").agg(F.count("*").alias("n")).withColumn("k", place).where(F.col("k") <= sample_words)
