@@ -36,7 +36,7 @@ MAX_WORD = 40
 #: ASCII bytes that are no letters become spaces; what else parts words is sorted out once per word.
 _ASCII_LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 CACHE_WORDS = 700_000
-#: Ids of sampled documents that are broadcast at most; more (over a thousand languages) are joined.
+#: Languages and ids of sampled documents that are broadcast at most; more (over a thousand languages) are joined.
 MOST_BROADCAST = 1_000_000
 
 
@@ -211,12 +211,15 @@ def train(docs: DataFrame, model_file: str, sample_docs: int = 1000, sample_word
     rows = docs.select("doc_id", "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     # Only documents whose hash is low enough for their language are ranked: some 2 * sample_docs of each, however many there are.
     ids = rows.select("doc_id", "lang")
-    sizes = ids.groupBy(F.col("lang").alias("__lang")).agg(F.count("*").alias("n"))
+    folder = work_dir(docs.sparkSession, "languages")
+    sizes = stored(ids.groupBy(F.col("lang").alias("__lang")).agg(F.count("*").alias("n")), f"{folder}/sizes")
+    if sizes.count() <= MOST_BROADCAST:
+        sizes = F.broadcast(sizes)
     uniform = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) / F.lit(float(1 << 31))
     near = ids.join(sizes, F.col("lang") == F.col("__lang")).where(uniform < F.lit(2.0 * sample_docs) / F.col("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     chosen = near.withColumn("k", rank).where(F.col("k") <= sample_docs).select(F.col("doc_id").alias("__id")).distinct()
-    chosen = stored(chosen, work_dir(docs.sparkSession, "languages") + "/sample")
+    chosen = stored(chosen, f"{folder}/sample")
     if chosen.count() <= MOST_BROADCAST:
         chosen = F.broadcast(chosen)
     words = rows.join(chosen, F.col("doc_id") == F.col("__id"), "left_semi").select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word"))
