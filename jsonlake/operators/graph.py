@@ -7,13 +7,15 @@ folder, which keeps lineage short and survives lost executors.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.files import stored, work_dir
 
 
-def follow(edges: DataFrame, starts: DataFrame, reverse: bool = False, exclude_start: bool = False, leaves_only: bool = False, most: int = 1000) -> DataFrame:
+def follow(edges: DataFrame, starts: DataFrame, reverse: bool = False, exclude_start: bool = False, leaves_only: bool = False) -> DataFrame:
     """(start, node): all nodes reachable from each start along (src, dst); a start reaches itself unless excluded.
 
     ``leaves_only``: only nodes without a further edge.
@@ -24,7 +26,7 @@ def follow(edges: DataFrame, starts: DataFrame, reverse: bool = False, exclude_s
     step = stored(step.distinct(), f"{folder}/edges")
     seen = stored(starts.select("start", F.col("start").alias("node")).distinct(), f"{folder}/seen0")
     frontier, rounds = seen, [seen]
-    for k in range(1, most + 1):
+    for k in count(1):
         near = frontier.join(step, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
         known = rounds[0]
         for r in rounds[1:]:
@@ -65,15 +67,20 @@ def transitive_closure(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, comp): comp is the smallest node reachable when edges count both ways."""
+    """(node, comp): comp is the smallest node reachable when edges count both ways.
+
+    Each round takes the smallest label nearby and then that label's own label, so
+    a chain settles in logarithmic rounds.
+    """
     spark = edges.sparkSession
     folder = work_dir(spark, "components")
     both = stored(edges.select("src", "dst").union(edges.select("dst", "src")).distinct(), f"{folder}/edges")
     labels = stored(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("comp")), f"{folder}/0")
-    for k in range(1, 100):
+    for k in count(1):
         near = both.join(labels.select(F.col("node").alias("dst"), "comp"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("comp").alias("near"))
-        table = stored(labels.join(near, "node").select("node", F.least("comp", "near").alias("comp"), F.col("comp").alias("old")), f"{folder}/{k}")
+        least = labels.join(near, "node").select("node", F.least("comp", "near").alias("least"), F.col("comp").alias("old"))
+        jump = labels.select(F.col("node").alias("least"), F.col("comp").alias("far"))
+        table = stored(least.join(jump, "least").select("node", F.least("least", "far").alias("comp"), "old"), f"{folder}/{k}")
         labels = table.select("node", "comp")
         if table.where("comp != old").isEmpty():
             return labels
-    raise RuntimeError("components did not settle")

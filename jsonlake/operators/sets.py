@@ -16,10 +16,13 @@ def union(*stores: DataFrame) -> DataFrame:
 
 
 def difference(old: DataFrame, new: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Rows of only one side, with ``change`` = 'removed' or 'added'."""
+    """Rows of only one side, with ``change`` = 'removed' or 'added': one shuffle of net counts, summed before it."""
     keys = keys or old.columns
-    gone = old.select(*keys).exceptAll(new.select(*keys)).withColumn("change", F.lit("removed"))
-    return gone.unionByName(new.select(*keys).exceptAll(old.select(*keys)).withColumn("change", F.lit("added")))
+    both = old.select(*keys).withColumn("__n", F.lit(1)).unionByName(new.select(*keys).withColumn("__n", F.lit(-1)))
+    net = both.groupBy(*keys).agg(F.sum("__n").alias("__n")).where("__n != 0")
+    change = F.when(F.col("__n") > 0, "removed").otherwise("added").alias("change")
+    # A row that one side holds n times more often comes out n times.
+    return net.select(*keys, change, F.explode(F.sequence(F.lit(1).cast("long"), F.abs("__n"))).alias("__k")).drop("__k")
 
 
 def without(base: DataFrame, removed: DataFrame, keys: list[str]) -> DataFrame:

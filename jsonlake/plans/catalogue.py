@@ -232,7 +232,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "semi_join_ids": (ask("orders customer", "{o_orderkey where o_custkey in {c_mktsegment = 'BUILDING' and c_acctbal > 9000}}"), "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 9000)"),
     "anti_join_ids": (ask("orders customer", "{o_orderkey where o_custkey not in {c_acctbal > 0}}"), "SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)"),
     "cross_join": (lambda spark, d: store(spark, d, "region", "nation").query_df("{r_name, 'all': ?n.n_name}").select("r_name", F.size("all").alias("n")), "SELECT r_name, CAST((SELECT count(*) FROM nation) AS INT) AS n FROM region"),
-    "theta_join": (ask("part", '{?a p_partkey, "other": ?b.p_partkey where ?a.p_size > ?b.p_size and {?b p_retailprice < 905} and ?a.p_retailprice < 905}'), "SELECT a.p_partkey, b.p_partkey AS other FROM part a JOIN part b ON a.p_size > b.p_size WHERE a.p_retailprice < 905 AND b.p_retailprice < 905"),
+    "theta_join": (ask("customer supplier", '{?c c_custkey, "s": ?s.s_suppkey where ?c.c_acctbal + 10000 < ?s.s_acctbal}'), "SELECT c_custkey, s_suppkey AS s FROM customer JOIN supplier ON c_acctbal + 10000 < s_acctbal"),
     "computed_key_join": (ask("region nation", '{?n n_name, "next": ?r.r_name where ?n.n_regionkey + 1 = ?r.r_regionkey}'), "SELECT n_name, r_name AS next FROM nation JOIN region ON n_regionkey + 1 = r_regionkey"),
     "alias_labels": (ask("part", "{?a p_partkey, \"brand\": ?b.p_brand where ?a = ?b and ?b.p_size < 10}"), "SELECT p_partkey, p_brand AS brand FROM part WHERE p_size < 10"),
     "nested_construct": (lambda spark, d: store(spark, d, "region", "nation").query_df("{?r r_name, 'nations': [{n_name where n_regionkey = ?r}]}").select("r_name", F.array_join(F.array_sort(F.col("nations.n_name")), ",").alias("nations")), "SELECT r_name, string_agg(n_name, ',' ORDER BY n_name) AS nations FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY 1"),
