@@ -27,6 +27,8 @@ from .catalog import Catalog, EntityTable
 
 #: Fixed value: ids of list resources start so.
 LISTS = V.BNODE + "j:e:list:"
+#: Objects of an unlinked label that one row may hold; more are refused with an error.
+MOST_UNLINKED = 100_000
 
 
 @dataclass
@@ -409,6 +411,14 @@ class Compiler:
             q = q.join(self.revisions, ["s", "p", "o", "ot", "c"], "left")
             element = element.withField("tx", F.col("tx"))
         rows = q if s.star else (q.where(F.col("p").isin(names)) if names and any(s.props.values()) else q)
+        def get(label: str, prop: str) -> Val:
+            if prop == "id":
+                return Val(F.col(f"`{id_name}`"), "ref")
+            return Val(F.col(f"`{s.label}|{prop}`"), "any", True, listed=True, prop=True)
+
+        # Values that fail every test of a required property leave before the shuffle; who keeps none fails the tests below.
+        for p, tests in self._needed(s, get).items():
+            rows = rows.where((F.col("p") != p) | any_of(tests)(element))
         aggs = [F.sort_array(F.collect_list(F.when(F.col("p") == p, element))).alias(f"{s.label}|{p}") for p in names]
         if s.star:
             aggs.append(F.collect_list(F.struct(F.col("p").alias("p"), element.alias("v"))).alias(f"{s.label}|*"))
@@ -417,11 +427,6 @@ class Compiler:
         else:
             df = rows.groupBy(F.col("s").alias(id_name)).agg(*aggs)
 
-        def get(label: str, prop: str) -> Val:
-            if prop == "id":
-                return Val(F.col(f"`{id_name}`"), "ref")
-            return Val(F.col(f"`{s.label}|{prop}`"), "any", True, listed=True, prop=True)
-
         for p in names:
             if s.props[p]:
                 df = df.where(F.size(f"`{s.label}|{p}`") > 0)
@@ -452,6 +457,20 @@ class Compiler:
                 df = df.withColumn(f"{s.label}|{p}", F.filter(F.col(f"`{s.label}|{p}`"), any_of(tests)))
         return df, get
 
+    def _needed(self, s: Source, get: Getter) -> dict[str, list[Callable[[Column], Column]]]:
+        """Tests by property where only values that pass one are ever looked at."""
+        tests: dict[str, list[Callable[[Column], Column]]] = {}
+        whole = set(s.absent) | self.bare.get(s.label, set()) | {n.path[0] for x, _, _ in s.semi for n in walk(x) if isinstance(n, Prop)}
+        for node, _ in s.local:
+            single = self._single(node)
+            if single is None:
+                whole |= {n.path[0] for n in walk(node) if isinstance(n, Prop)}
+            elif s.props.get(single, False):
+                tests.setdefault(single, []).append(self._tester(node, single, get))
+            else:
+                whole.add(single)
+        return {} if s.star else {p: t for p, t in tests.items() if p not in whole}
+
     def _tester(self, node: Node, single: str, get: Getter) -> Callable[[Column], Column]:
         """A predicate on one value of the property ``single``."""
 
@@ -676,9 +695,13 @@ class Compiler:
                     df = df.join(F.broadcast(other.limit(1).select(F.lit(1).alias("__any"))), how="cross").drop("__any")
                 continue
             cell = f"{label}|cell"
-            one = other.agg(F.collect_list(F.struct(*[F.col(f"`{c}`").alias(c) for c in other.columns])).alias(cell))
+            # One object more than may be gathered is enough to refuse; nothing is cut off.
+            all_of = F.collect_list(F.struct(*[F.col(f"`{c}`").alias(c) for c in other.columns]))
+            one = other.limit(MOST_UNLINKED + 1).agg(all_of.alias(cell))
+            refuse = F.raise_error(F.lit(f"{label} is not linked and has more than {MOST_UNLINKED} objects: add a join condition"))
+            one = one.withColumn(cell, F.when(F.size(f"`{cell}`") > MOST_UNLINKED, refuse).otherwise(F.col(f"`{cell}`")))
             if not s.optional:
-                one = one.where(F.size(cell) > 0)
+                one = one.where(F.size(f"`{cell}`") > 0)
             df = df.join(F.broadcast(one), how="cross")
             getters[label] = self._cell_getter(cell, label, oget)
         if conds:
