@@ -17,6 +17,7 @@ from ..sources.files import stored, work_dir
 
 def follow(edges: DataFrame, starts: DataFrame, reverse: bool = False, exclude_start: bool = False, leaves_only: bool = False) -> DataFrame:
     """(start, node): all nodes reachable from each start along (src, dst); a start reaches itself unless excluded.
+    A null start reaches nothing else.
 
     ``leaves_only``: only nodes without a further edge.
     """
@@ -27,7 +28,7 @@ def follow(edges: DataFrame, starts: DataFrame, reverse: bool = False, exclude_s
     seen = stored(starts.select("start", F.col("start").alias("node")).distinct(), f"{folder}/seen0")
     frontier, rounds = seen, [seen]
     for k in count(1):
-        near = frontier.join(step, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
+        near = frontier.where("start IS NOT NULL").join(step, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
         known = rounds[0]
         for r in rounds[1:]:
             known = known.unionByName(r)
