@@ -145,6 +145,11 @@ def write_pjson(quads: DataFrame, path: str, mode: str = "errorifexists") -> Non
 def read_rdfjson(spark: SparkSession, text_or_path: str, context: str = "") -> DataFrame:
     """``{subject: {property: [{type, value, datatype|lang, context?}]}}``, by from_json and explode."""
     raw = spark.createDataFrame([(text_or_path,)], "value string") if text_or_path.lstrip().startswith("{") else spark.read.text(text_or_path, wholetext=True)
+    return rdfjson_quads(raw, context)
+
+
+def rdfjson_quads(raw: DataFrame, context: str = "") -> DataFrame:
+    """Quads of rows that each hold one such JSON text as ``value``, as write_rdfjson makes them."""
     kind = "map<string, map<string, array<struct<type:string,value:string,datatype:string,lang:string,context:string>>>>"
     rows = raw.select(F.explode(F.from_json("value", kind)).alias("s", "ps")).select("s", F.explode("ps").alias("p", "vs")).select("s", "p", F.explode("vs").alias("v"))
     ot = F.when(F.col("v.type").isin("uri", "bnode"), F.lit(REF)).otherwise(F.coalesce("v.datatype", "v.lang", F.lit(LITERAL)))
