@@ -7,9 +7,9 @@ Runs are tables bucketed and sorted by line hash. A batch's lines are summed by
 hash and merge-anti-joined with every run: the lines that no run holds become a
 new run of level 0 with their counts, so a hash stands in exactly one run. The
 lines that a run holds already go, as increments, to a table of their own. A
-level that holds ``fanout`` runs is compacted into one run of the next level;
-as runs are disjoint, that is a union and needs no sums, and as all tables share
-their buckets neither joins nor compactions shuffle a run.
+level that holds ``fanout`` runs is compacted into one run of the next level, one
+file a bucket. As all tables share their buckets, the anti-joins do not shuffle
+runs; compactions do, a line once a level, and so do the sums at the end.
 
 The number of documents of a line is the count of its entry plus its increments.
 A line of ``min_docs`` or more documents goes from all of them except the one
@@ -19,7 +19,12 @@ Only hashes, ids and line numbers are shuffled to find the lines; counting is a
 partial aggregation, so a line that a third of all rows hold is summed before the
 shuffle, and the join that brings counts back to documents can be split (AQE).
 Everything lives in the shared checkpoint folder, so a lost executor loses
-nothing. The number of batches follows the size of the input (``batch_bytes``).
+nothing.
+
+There are at least ``LEAST`` batches, so that runs are compacted over two levels
+however small the input is, and one for each ``batch_bytes`` beyond that. From
+``MOST`` on batches grow instead: each reads the keys of all runs, so work would
+else grow with the square of the input. No row is left out by either bound.
 
 Edge cases: a null or empty text is one empty line and stays (a null text comes
 back as the empty text); keys shorter than ``min_chars`` always stay; lines that
@@ -43,7 +48,11 @@ from .common import free, remove_dir, stored, work_dir
 BLANK = "\x20\x09\x0a\x0b\x0c\x0d"
 _LOWER = {c: c + 32 for c in range(65, 91)}
 KEY = ["h1", "h2"]
-SLICES = 256
+#: Parts of a batch's stored lines.
+SLICES = 64
+FANOUT = 4
+#: Batches, unless the caller says how many: two and three full levels.
+LEAST, MOST = FANOUT**2, FANOUT**3
 
 
 def line_key(line: str) -> str:
@@ -87,7 +96,7 @@ def keyed_lines(docs: DataFrame, min_chars: int, batches: int) -> DataFrame:
 class LineIndex:
     """Levelled sorted runs in a shared folder: h1, h2, n (documents when it was new), top (largest doc_id)."""
 
-    def __init__(self, spark: SparkSession, folder: str, fanout: int = 4, buckets: int | None = None):
+    def __init__(self, spark: SparkSession, folder: str, fanout: int = FANOUT, buckets: int | None = None):
         self.spark, self.folder, self.fanout = spark, folder, fanout
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
@@ -112,9 +121,16 @@ class LineIndex:
             remove_dir(self.spark, f"{self.folder}/{name}")
 
     def _union(self, names: list[str]) -> DataFrame:
-        out = self.spark.table(names[0])
-        for name in names[1:]:
-            out = out.unionByName(self.spark.table(name))
+        """The tables one after another.
+
+        Spark takes a union of plain scans of equally bucketed tables for bucketed, but runs it columnar,
+        partition after partition: sums would be split and joins fail. With a filter, which no row fails,
+        the union counts as not bucketed, so sums and joins shuffle it.
+        """
+        out = None
+        for name in names:
+            rows = self.spark.table(name).where(F.col("h1").isNotNull())
+            out = rows if out is None else out.unionByName(rows)
         return out
 
     def add(self, batch: DataFrame) -> None:
@@ -124,13 +140,13 @@ class LineIndex:
             self._place(self._write(batch), 0)
             return
         own = self._write(batch)
-        fresh, known = self.spark.table(own), []
+        fresh = self.spark.table(own)
         for name in runs:
-            keys = self.spark.table(name).select(*KEY)
-            known.append(self.spark.table(own).join(keys, KEY, "left_semi"))
-            fresh = fresh.join(keys, KEY, "left_anti")
-        self.more.append(self._write(_all(known)))
-        self._place(self._write(fresh), 0)
+            fresh = fresh.join(self.spark.table(name).select(*KEY), KEY, "left_anti")
+        new = self._write(fresh)
+        # What is not new is known: the runs are read once for both.
+        self.more.append(self._write(self.spark.table(own).join(self.spark.table(new).select(*KEY), KEY, "left_anti")))
+        self._place(new, 0)
         self._drop([own])
         if len(self.more) >= self.fanout:
             merged = self._write(_sums(self._union(self.more)))
@@ -143,7 +159,7 @@ class LineIndex:
         self.levels[level].append(name)
         if len(self.levels[level]) >= self.fanout:
             old = self.levels[level]
-            merged = self._write(self._union(old))
+            merged = self._write(_sums(self._union(old)))
             self.levels[level] = []
             self._place(merged, level + 1)
             self._drop(old)
@@ -164,13 +180,6 @@ class LineIndex:
         self.levels, self.more = [], []
 
 
-def _all(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 def _sums(df: DataFrame) -> DataFrame:
     return df.groupBy(*KEY).agg(F.sum("n").alias("n"), F.max("top").alias("top"))
 
@@ -182,11 +191,12 @@ def input_bytes(df: DataFrame) -> int:
 
 
 def batches_for(docs: DataFrame, batch_bytes: int) -> int:
+    """One batch for each ``batch_bytes`` of the input, within LEAST and MOST; LEAST for an unknown size."""
     size = input_bytes(docs)
-    return max(2, min(1024, -(-size // batch_bytes))) if size < 1 << 61 else 2
+    return max(LEAST, min(MOST, -(-size // batch_bytes))) if size < 1 << 61 else LEAST
 
 
-def build_index(lines: DataFrame, folder: str, batches: int, fanout: int = 4) -> LineIndex:
+def build_index(lines: DataFrame, folder: str, batches: int, fanout: int = FANOUT) -> LineIndex:
     """Index of stored ``lines`` (the columns of ``keyed_lines``), batch after batch."""
     index = LineIndex(lines.sparkSession, folder, fanout)
     for b in range(batches):
@@ -196,7 +206,7 @@ def build_index(lines: DataFrame, folder: str, batches: int, fanout: int = 4) ->
     return index
 
 
-def drop_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int | None = None, batch_bytes: int = 1 << 40) -> DataFrame:
+def drop_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int | None = None, batch_bytes: int = 1 << 30) -> DataFrame:
     """``docs`` with the text reduced to its kept lines, plus ``__n_lines`` and ``__n_dropped``."""
     if {"__n_lines", "__n_dropped"} & set(docs.columns):
         raise ValueError("columns __n_lines and __n_dropped are results")

@@ -104,6 +104,40 @@ def test_the_anti_join_decides_the_result(spark, monkeypatch):
     monkeypatch.setattr(line_dedup.LineIndex, "add", whole)
 
 
+def test_by_default_runs_are_compacted_over_two_levels(spark, monkeypatch):
+    """Also where the input is small: two batches would never fill a level."""
+    rows = [(i, f"line number {i % 30:030d}\nline {i // 2:030d} of two\nline {i} is in one document only") for i in range(100)]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCS)
+    seen, close = [], line_dedup.LineIndex.close
+    monkeypatch.setattr(line_dedup.LineIndex, "close", lambda self: (seen.append([len(x) for x in self.levels]), close(self)))
+    got = {r.doc_id: r.text for r in line_dedup.drop_lines(docs).collect()}
+    assert got == {i: "\n".join(x) for i, x in brute_lines(rows).items()}
+    assert seen == [[0, 0, 1]]
+
+
+@pytest.mark.parametrize("batches", [3, 7])
+def test_several_runs_and_increments_are_summed_whole(spark, batches):
+    """Without a broadcast: unions of columnar scans broke the sums of increments and the join with them."""
+    df = spark.createDataFrame([(i, f"line number {i % 7:030d}\nline {i} is in one document only", None, None, None) for i in range(70)], DOCS)
+    lines = line_dedup.keyed_lines(df, 20, batches).cache()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        index = line_dedup.build_index(lines, work_dir(spark, "idx"), batches)
+        assert {r.n: r["count"] for r in index.counts().groupBy("n").count().collect()} == {10: 7, 1: 70}
+        for name in [*index.runs(), *index.more]:
+            assert spark.table(name).count() == spark.table(name).select("h1", "h2").distinct().count()
+            assert len(spark.table(name).inputFiles()) <= index.buckets  # one file a bucket, also of what was compacted
+        index.close()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_batches_follow_the_size_of_the_input(spark, monkeypatch):
+    for size, want in [(0, 16), (10 << 30, 16), (30 << 30, 30), (30 << 40, 64), (1 << 62, 16)]:
+        monkeypatch.setattr(line_dedup, "input_bytes", lambda docs, size=size: size)
+        assert line_dedup.batches_for(spark.range(1), 1 << 30) == want
+
+
 def test_runs_are_joined_and_compacted_without_a_shuffle(spark):
     index = line_dedup.LineIndex(spark, work_dir(spark, "idx"), fanout=9, buckets=4)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
