@@ -6,6 +6,7 @@ import re
 from collections import defaultdict
 
 import corpus_pipeline
+from jsonlake.llm import line_dedup
 from jsonlake.llm.queries import table
 
 SF = "/root/testdata/sf0.001"
@@ -52,6 +53,16 @@ def test_line_and_copy_stages_agree_with_brute_force(spark):
     assert {r.doc_id for r in out.collect()} & set(texts) == group_heads(texts)
 
 
+def test_the_line_stage_compacts_runs_over_two_levels(spark, monkeypatch):
+    """Two batches, as below 1 TB before, are one anti-join and no compaction."""
+    seen, close = [], line_dedup.LineIndex.close
+    monkeypatch.setattr(line_dedup.LineIndex, "close", lambda self: (seen.append([len(x) for x in self.levels]), close(self)))
+    docs = table(spark, SF, "documents").where("text IS NOT NULL")
+    got = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, SF).collect()}
+    assert got == kept_lines({r.doc_id: r.text for r in docs.collect()})
+    assert seen == [[0, 0, 1]]
+
+
 def test_the_whole_run_keeps_whole_distinct_documents(spark):
     docs = table(spark, SF, "documents")
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality classifier", "line dedup", "minhash near-dedup", "mixing to target weights", "sentencepiece encoding"]
