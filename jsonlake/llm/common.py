@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +50,18 @@ def remove_matching(spark: SparkSession, pattern: str) -> None:
         fs.delete(found.getPath(), True)
 
 
+def give_back() -> None:
+    """Return memory that Python and Arrow have freed to the machine.
+
+    Spark uses Python workers again, so what one task leaves in their pools counts against its executor
+    in all later ones. Only glibc has pools that must be asked; elsewhere just Arrow's are emptied.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def free(names: list[str], wanted: str) -> str:
     """``wanted``, or the same with a tail where a column has that name."""
     taken = {n.lower() for n in names}

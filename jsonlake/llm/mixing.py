@@ -57,6 +57,8 @@ from .common import free, remove_dir, stored, work_dir
 #: Signs that stand for a word's shape when they end it.
 SHAPES = list("!*#$%&|")
 SHORTEST, LONGEST = 3, 8
+#: Parts of the labelled texts while their pieces are counted. Spark would join the small texts to a few parts, though each text has thousands of pieces.
+PARTS = 64
 #: Pieces that the driver looks at for each one it keeps.
 CANDIDATES = 15
 
@@ -116,7 +118,7 @@ def train(docs: DataFrame, labelled: DataFrame, domains: list[str], sample_rows:
     words = np.array([float(sums[f"t{k}"] or 0) for k in each])
     if not words.sum():
         return DomainModel(domains, priors, [], [0.0] * len(domains))
-    tokens = texts.repartition("key").select("key", "domain", F.explode(distinct_words(F.col("text"))).alias("w")).select("key", "domain", word_token(F.col("w")).alias("w"))
+    tokens = texts.repartition(PARTS, "key").select("key", "domain", F.explode(distinct_words(F.col("text"))).alias("w")).select("key", "domain", word_token(F.col("w")).alias("w"))
     pieces = tokens.select("key", "domain", F.explode(F.array(*word_pieces(F.col("w")))).alias("piece")).where("piece IS NOT NULL")
     # By document first: the variance of a piece's count is the sum of its squared counts by document.
     by = pieces.groupBy("key", "domain", "piece").agg(F.count("*").alias("c"))

@@ -35,11 +35,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import give_back
 from .lattice import SPACE, Numbers, PieceTable, best_and_gap, by_length, n_best, read_vocabulary
 
 CACHE_CHUNKS = 500_000
 
 
+def chunk_of(key: str) -> str:
+    """The chunk that ``Codec.keys`` calls by this name."""
+    return key if key[:1] in ("\n", SPACE) else key[1:] if key[:1] == "\0" else SPACE + key
+
+
 class Codec:
     def __init__(self, model_file: str):
         self.pieces, self.scores, self.plain, self.byte_ids = read_vocabulary(model_file)
@@ -137,16 +143,17 @@ class Codec:
                 found.append(self.cache.row(self.keys(text)))
             new = self.cache.settle()
             if new:
-                chunks = [k if k[:1] in ("\n", SPACE) else k[1:] if k[:1] == "\0" else SPACE + k for k in new]
-                self._learn(chunks)
-                self.names += chunks
+                self._learn([chunk_of(k) for k in new])
+                # The cache's own strings: a second one for each chunk would be the largest part of this object.
+                self.names += new
+                give_back()
             yield from found
 
     def _ranked(self, k: int, n: int) -> tuple[list[float], list[bytes]]:
         """Losses and pieces of the ``n`` best segmentations of chunk ``k``; an infinite loss ends them where there are fewer."""
         got = self.ranked.get(k)
         if got is None or len(got[0]) < n and not math.isinf(got[0][-1]):
-            name = self.names[k]
+            name = chunk_of(self.names[k])
             found = n_best(name, self.index, self.scores, self.unknown, n, self.table.longest)
             losses = [found[0][0] - s for s, _ in found]
             blobs = []
@@ -249,7 +256,8 @@ def encode(docs: DataFrame, model_file: str, n: int = 4, text: str = "text", wit
             for at in range(0, max(1, whole.num_rows), 2000):
                 batch = whole.slice(at, 2000)
                 rows, best, every = [], [], []
-                for t, got in zip(batch.column(text).to_pylist(), codec.encode(batch.column(text).to_pylist(), n), strict=True):
+                texts = batch.column(text).to_pylist()
+                for t, got in zip(texts, codec.encode(texts, n), strict=True):
                     if got is None:
                         rows.append((None,) * 8)
                         continue
@@ -258,8 +266,10 @@ def encode(docs: DataFrame, model_file: str, n: int = 4, text: str = "text", wit
                     last = [scores[0] - scores[k] if len(scores) > 1 else None for k in (1 if len(scores) > 1 else 0, -1)]
                     same = all((codec.decode(p) if len(p) else "") == t for p in paths)
                     rows.append((len(paths[0]), scores[0], len(scores), *last, sums[0], sums, same))
-                    best.append(paths[0])
-                    every.append(paths)
+                    if with_ids:
+                        best.append(paths[0])
+                    if with_segmentations:
+                        every.append(paths)
                 there = [r[0] is not None for r in rows]
                 columns = [pa.array(c, RESULTS[k][1]) for c, k in zip(zip(*rows, strict=True), RESULTS, strict=False)] if rows else [pa.array([], RESULTS[k][1]) for k in list(RESULTS)[:8]]
                 # A row without a text takes a null instead of a list.

@@ -360,6 +360,20 @@ def test_shard_limits_take_as_many_jobs_for_more_rows(spark):
     assert np.searchsorted(limits, [-(1 << 63), 0, 1, 2, (1 << 63) - 1], side="right").tolist() == [0, 1, 2, 3, 4]
 
 
+def test_pieces_are_counted_in_many_parts(spark):
+    """The texts are small, so Spark would make one part of them, but their pieces are not: a task held 411 MB of them."""
+    docs = spark.createDataFrame([(i, f"some words {i} of text {i % 7}", None, None, None) for i in range(400)], DOCS)
+    labels = spark.createDataFrame([(i, "clean" if i % 2 else "toxic") for i in range(400)], "doc_id long, domain string")
+    spark.sparkContext.setJobGroup("pieces", "pieces")
+    try:
+        mixing.train(docs, labels, ["clean", "toxic"])
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    status = spark.sparkContext.statusTracker()
+    stages = [status.getStageInfo(s) for j in status.getJobIdsForGroup("pieces") for s in status.getJobInfo(j).stageIds]
+    assert mixing.PARTS in [s.numTasks for s in stages if s]
+
+
 def test_mixing_reaches_targets(spark):
     rng = np.random.default_rng(9)
     own = {"clean": [f"c{k}" for k in range(40)], "toxic": [f"t{k}" for k in range(40)], "low": [f"l{k}" for k in range(40)]}

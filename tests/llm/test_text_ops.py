@@ -3,6 +3,8 @@
 import math
 import os
 import re
+import subprocess
+import sys
 from collections import Counter
 
 import numpy as np
@@ -255,3 +257,32 @@ def test_results_do_not_depend_on_the_cache(monkeypatch):
     monkeypatch.setattr(piece_codec, "CACHE_CHUNKS", 4)
     small = piece_codec.Codec(PIECES)
     assert [plainly(x) for t in texts for x in small.encode([t], 3)] == want
+
+
+def test_the_cache_holds_each_chunk_once():
+    """A second string for each chunk was the largest part of an encoder."""
+    codec = piece_codec.Codec(PIECES)
+    list(codec.encode([f"word{k} and\nword{k}  after two spaces, \0 too" for k in range(200)], 3))
+    assert len(codec.names) == len(codec.cache) > 200
+    assert all(a is b for a, b in zip(codec.names, codec.cache, strict=True))
+
+
+def test_an_encoder_gives_back_what_it_frees():
+    """Workers are used again, so freed memory that stays in their pools counts against the executor later on."""
+    script = f"""
+import re
+from jsonlake.llm import piece_codec
+from jsonlake.llm.common import give_back
+def held():
+    return sum(map(int, re.findall(r"Pss_(?:Anon|Shmem):\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+codec = piece_codec.Codec({PIECES!r})
+give_back()
+before = held()
+freed = [b"%0600d" % k for k in range(200_000)]
+last = freed[-1]
+del freed
+list(codec.encode(["some words"]))
+print(held() - before)
+"""
+    got = subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, check=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+    assert float(got.stdout) < 40  # of 130 MB
