@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions import values as V
 from ..functions.values import Val
+from ..operators.rangejoin import range_join
 from .ast import AGGREGATES, Bind, Call, Construct, FilterSet, Item, Label, Lit, Node, Op, Prop, QueryError, RefLit, conjuncts, has_aggregate, walk
 from .catalog import Catalog, EntityTable
 
@@ -757,10 +758,29 @@ class Compiler:
             out = df.join(other, cond, "left_semi")
             out = out.drop(*[a for a, _, _ in keys])
             return out.dropDuplicates() if exploded else out
-        out = df.join(other, cond, "left" if outer else "inner").drop(*[x for a, b, _ in keys for x in (a, b)])
+        bounds = None if outer or keys else next((b for c in own if (b := self._bounds(c, label, pick, oget))), None)
+        if bounds is not None:
+            out = range_join(df, other, [(a, b) for a, b, _ in keys], *bounds, reduce(lambda a, b: a & b, rest))
+        else:
+            out = df.join(other, cond, "left" if outer else "inner").drop(*[x for a, b, _ in keys for x in (a, b)])
         getters[label] = oget
         return out.dropDuplicates() if exploded else out
 
+    def _bounds(self, c: Cond, label: str, pick: Getter, oget: Getter) -> tuple[Column, Column, bool, bool] | None:
+        """Low and high side of a comparison between a label and those before it, whether the label's is the high one, and whether equals are out."""
+        n = c.node
+        if not isinstance(n, Op) or n.op not in ("<", "<=", ">", ">="):
+            return None
+        low, high = n.args if n.op in ("<", "<=") else n.args[::-1]
+        sides = [self.labels_in(x) for x in (low, high)]
+        if {label} not in sides or not all(sides) or label in sides[0] & sides[1] or any(label in x and len(x) > 1 for x in sides):
+            return None
+        last = sides[1] == {label}
+        lv, hv = (self.value(low, pick if last else oget), self.value(high, oget if last else pick))
+        if lv.many or hv.many or lv.constant or hv.constant or lv.kind != hv.kind or lv.kind not in ("num", "str"):
+            return None
+        return lv.col, hv.col, last, n.op in ("<", ">")
+
     # ---- follow
 
     def _edges(self, prop: str) -> DataFrame:
