@@ -758,7 +758,7 @@ class Compiler:
             out = df.join(other, cond, "left_semi")
             out = out.drop(*[a for a, _, _ in keys])
             return out.dropDuplicates() if exploded else out
-        bounds = None if outer or keys else next((b for c in own if (b := self._bounds(c, label, pick, oget))), None)
+        bounds = None if outer else next((b for c in own if (b := self._bounds(c, label, pick, oget))), None)
         if bounds is not None:
             out = range_join(df, other, [(a, b) for a, b, _ in keys], *bounds, reduce(lambda a, b: a & b, rest))
         else:

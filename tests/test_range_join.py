@@ -67,3 +67,40 @@ def test_comparison_join_uses_more_than_the_tasks_of_its_input(spark):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
     assert sum(shares) == sum(v - 100 > x for x in range(4000) for v in range(0, 4000, 4))
     assert len(shares) > 1 and max(shares) < 0.6 * sum(shares)
+
+
+@pytest.mark.parametrize("op", OPS)
+def test_keyed_comparison_join_equals_brute_force(spark, op):
+    left, right = tables(spark, A, B)
+    s = stored(spark, left, right)
+    got = sorted(map(tuple, s.query_df(f'{{?l a, "b": ?r.b where ?l.g = ?r.h and ?l.x {op} ?r.y}}').collect()))
+    assert got == [(i, j) for (i, v), (j, w) in itertools.product(enumerate(A), enumerate(B)) if i % 5 and i % 3 == j % 3 and OPS[op](rank(v), rank(w))]
+
+
+def test_two_comparisons_and_a_key_equal_brute_force(spark):
+    s = stored(spark, *tables(spark, A, B))
+    got = sorted(map(tuple, s.query_df('{?l a, "b": ?r.b where ?l.g = ?r.h and ?l.x < ?r.y and ?l.a + 1 >= ?r.b}').collect()))
+    assert got == [(i, j) for (i, v), (j, w) in itertools.product(enumerate(A), enumerate(B)) if i % 5 and i % 3 == j % 3 and rank(v) < rank(w) and i + 1 >= j]
+
+
+@pytest.mark.parametrize("rows", [1, 4, 16])
+def test_keyed_blocks_lose_and_double_nothing(spark, rows):
+    left, right = (df.withColumn(k, F.col(v)) for df, k, v in zip(tables(spark, [v % 37 for v in range(150)], [v % 11 + 20 for v in range(60)], "int"), ("lk", "rk"), ("g", "h"), strict=True))
+    got = range_join(left, right, [("lk", "rk")], F.col("x"), F.col("y"), True, False, F.col("x") <= F.col("y"), rows)
+    assert "lk" not in got.columns and "rk" not in got.columns
+    want = [(i, j) for i in range(150) for j in range(60) if i % 5 and i % 3 == j % 3 and i % 37 <= j % 11 + 20]
+    assert sorted(map(tuple, got.select("a", "b").collect())) == want
+
+
+def test_a_frequent_key_is_shared_by_several_tasks(spark):
+    left, right = tables(spark, [float(v) for v in range(4000)], [float(v) for v in range(0, 4000, 4)])
+    left, right = left.withColumn("g", F.lit(1)), right.withColumn("h", F.lit(1))
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = stored(spark, left, right).query_df('{?l a, "b": ?r.b where ?l.g = ?r.h and ?l.x < ?r.y}')
+        shares = [n for _, n in df.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert sum(shares) == sum(range(0, 4000, 4))
+    assert len(shares) > 1 and max(shares) < 0.6 * sum(shares)
